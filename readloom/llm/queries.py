@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, quality, toxicity, warc
+from . import chat, decontaminate, hmm, mixing, quality, toxicity, warc
 from .common import table
 
 
@@ -33,12 +33,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op5_mixing, op6_quality, op7_warc, op8_decontaminate, op10_toxicity)
+    f.__name__: f for f in (op1_chat_format, op5_mixing, op6_quality, op7_warc, op8_decontaminate, op9_hmm, op10_toxicity)
 }
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')"
