@@ -154,17 +154,16 @@ def fit(rows: list[tuple[int, str | None, int]]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, str | None, int]]:
     """Labelled rows to learn from: of each kind the first by a hash of the id, within the bounds; never held-out ones."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(crc_mod(F.col("doc_id"), 3) != 1).select("doc_id", "text").join(known, "doc_id")
-    out = []
-    for kind in (0, 1):
-        size = 0
-        part = rows.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most_docs)
-        for r in part.toLocalIterator():
-            size += len(r["text"] or "")
-            if size > most_bytes:
-                break
-            out.append((r["doc_id"], r["text"], kind))
-    return out
+    # ids alone choose the sample; texts are then picked out by a broadcast of at most 2 * most_docs ids
+    known = known.where(crc_mod(F.col("doc_id"), 3) != 1).join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = [r for kind in (0, 1) for r in known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).collect()]
+    ids = labels.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id bigint, toxic int")
+    out, size = [], Counter()
+    for r in docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toLocalIterator():
+        size[r["toxic"]] += len(r["text"] or "")
+        if size[r["toxic"]] <= most_bytes:
+            out.append((r["doc_id"], r["text"], r["toxic"]))
+    return sorted(out, key=lambda r: (r[2], r[0], r[1] or ""))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
