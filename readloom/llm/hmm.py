@@ -92,7 +92,15 @@ class Vocabulary:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     end = counts.where(F.col("w") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    hot = [(r["w"], r["c"]) for r in counts.where((F.octet_length("w") <= LONGEST) & (F.col("w") != END)).orderBy(F.desc("c"), "w").limit(HOT).collect()]
+    # the most frequent words by classes of frequency, as many whole classes as HOT holds: no task sends more than that
+    level = F.floor(F.log2("c") * 64)
+    able = counts.where((F.octet_length("w") <= LONGEST) & (F.col("w") != END))
+    least, held = 1 << 30, 0
+    for r in sorted(able.groupBy(level.alias("k")).count().collect(), key=lambda r: -r["k"]):
+        if held + r["count"] > HOT:
+            break
+        least, held = r["k"], held + r["count"]
+    hot = sorted(((r["w"], r["c"]) for r in able.where(level >= least).collect()), key=lambda x: (-x[1], x[0]))
     single = {w for w, _ in hot[:SINGLES]}
 
     def rows(batches):
@@ -125,9 +133,9 @@ def encoded(docs: DataFrame, state) -> DataFrame:
                     c[w] += 1
                 base = float(voc.base[at].sum()) + voc.log_base(voc.end)
                 known = len(ws) - len(rare) + (voc.end > 0)
-                yield row, doc, held, len(ws) + 1, known, base, float(voc.within[at].sum()), np.concatenate([symbols, stop]).tobytes(), [{"w": w.decode("utf-8", "replace"), "n": n} for w, n in c.items()]
+                yield row, doc, held, len(ws) + 1, known, base, float(voc.within[at].sum()), np.concatenate([symbols, stop]).tobytes(), [{"w": w.decode("utf-8", "replace"), "n": n, "symbol": SINGLES + ending(w)} for w, n in c.items()]
 
-    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, within double, symbols binary, rare array<struct<w string, n int>>"
+    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, within double, symbols binary, rare array<struct<w string, n int, symbol int>>"
     return map_rows(docs.select("row", "doc_id", "held_out", "text"), schema, rows, 500)
 
 
@@ -254,7 +262,8 @@ def one_pass(spark: SparkSession, train: DataFrame, model: Hmm) -> Hmm:
 
 def trained(spark: SparkSession, train: DataFrame, symbols: int) -> Hmm:
     model, sample, n = Hmm.random(symbols), [], 0
-    for r in train.orderBy(F.xxhash64("doc_id"), "row").limit(SAMPLE_DOCS).select("symbols").toLocalIterator():
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    for r in train.where(share < SAMPLE_DOCS / max(1, train.count())).select("symbols").toLocalIterator():
         if (n := n + len(r[0]) // 2) <= SAMPLE_TOKENS:
             sample += arrays([r[0]])
     for _ in range(SAMPLE_PASSES if sample else 0):
@@ -285,24 +294,14 @@ def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     whole = map_rows(texts.drop("rare"), "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, within double, ll double", forward)
     # the other words: their counts are joined, an unknown one has none
-    sums = spark.sparkContext.broadcast(voc.sums)
-    rare = texts.select("row", F.inline("rare")).join(counts, "w", "left")
-    floor = math.log10(voc.n + 0.5 * (voc.v + 1)) if voc.n + voc.v else math.log10(0.5)
-
-    def split(batches):
-        of = {k: math.log10(s + 0.5 * (v + 1)) for k, (s, v) in sums.value.items()}
-        for b in batches:
-            total: dict[int, list] = {}
-            for row, w, n, c in zip(b["row"], b["w"], b["n"], b["c"], strict=True):
-                t = total.setdefault(row, [0, 0.0, 0.0])
-                log = math.log10((c or 0) + 0.5)
-                t[0] += n if c else 0
-                t[1] += n * (log - floor)
-                t[2] += n * (log - of.get(SINGLES + ending(w.encode()), math.log10(0.5)))
-            for row, t in total.items():
-                yield row, *t
-
-    other = map_rows(rare.select("row", "w", "n", "c"), "row bigint, k2 bigint, b2 double, w2 double", split, 10_000).groupBy("row").agg(F.sum("k2").alias("k2"), F.sum("b2").alias("b2"), F.sum("w2").alias("w2"))
+    zero = math.log10(0.5)
+    floor = math.log10(voc.n + 0.5 * (voc.v + 1)) if voc.n + voc.v else zero
+    of = spark.createDataFrame([(k, math.log10(n + 0.5 * (v + 1))) for k, (n, v) in voc.sums.items()], "symbol int, of double")
+    rare = texts.select("row", F.inline("rare")).join(counts, "w", "left").join(F.broadcast(of), "symbol", "left")
+    log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))
+    other = rare.groupBy("row").agg(
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("k2"), F.sum(F.col("n") * (log - floor)).alias("b2"), F.sum(F.col("n") * (log - F.coalesce("of", F.lit(zero)))).alias("w2")
+    )
     out = whole.join(other, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k2", F.lit(0))).alias("n_known"), F.lit(voc.n).cast("bigint").alias("train_tokens"),
