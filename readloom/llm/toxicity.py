@@ -156,7 +156,12 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, mos
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # ids alone choose the sample; texts are then picked out by a broadcast of at most 2 * most_docs ids
     known = known.where(crc_mod(F.col("doc_id"), 3) != 1).join(docs.select("doc_id"), "doc_id", "left_semi")
-    chosen = [r for kind in (0, 1) for r in known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).collect()]
+    there = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = []
+    for kind in (0, 1):  # by a threshold on the hash: no task sends more than it adds to the sample
+        part = known.where((F.col("toxic") == kind) & (share < most_docs / max(1, there.get(kind, 0)))).collect()
+        chosen += sorted(part, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))[:most_docs]
     ids = labels.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id bigint, toxic int")
     out, size = [], Counter()
     for r in docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toLocalIterator():
