@@ -5,10 +5,11 @@ one of them. Bands of MinHash values propose pairs of representatives; a propose
 time, and the pair is dropped as soon as the posterior probability that its similarity reaches the threshold falls
 below the tolerance; the sets of the rest are compared exactly. Verified links make classes by connected components.
 
-A bucket of a band with up to SMALL members proposes all its pairs. A larger one is first split by set size (similar
-sets are of similar size) and then proposes pairs with a few pivots; members that no pivot is linked to stay for the
-next round, with twice the pivots, until none is left or few enough for all pairs. So a bucket that holds a third of
-all rows costs a few pairs a row, no group is ever collected, and nothing is capped. A link at the threshold is missed
+A bucket of a band with up to SMALL members proposes all its pairs. A larger one is split by set size (similar sets are
+of similar size), loses the members whose unshared shingles rule out every link, and proposes pairs with its most
+central member; members that it is not linked to stay for the next round, with eight times the pivots, until none is left or
+few enough for all pairs. So a bucket that holds a third of all rows costs a few pairs a row, no group is ever
+collected, and nothing is capped. A link at the threshold is missed
 by all bands with probability (1 - 0.8 ** 4) ** 32 = 5e-8, and by the pruning with the tolerance, 1e-6.
 
 Defined results: words are separated by ASCII blanks; a text with fewer than five words is one shingle; a null or empty
@@ -33,9 +34,7 @@ from .shingles import shingle_set
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, ROWS, STEP = 128, 4, 16
-SMALL, PIVOTS = 16, 4
-#: Pairs of one pivot that a task verifies.
-TOGETHER = 4096
+SMALL = 16
 _rng = np.random.default_rng(20)
 MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -117,17 +116,42 @@ def all_pairs(members: DataFrame) -> DataFrame:
     return mates.select(F.explode(made).alias("p")).select("p.a", "p.b")
 
 
-def pivot_pairs(members: DataFrame, round_: int) -> DataFrame:
-    """k, a, b with a pivot on one side, for each member and each of the bucket's pivots; c is the member."""
-    salt = F.pmod(F.xxhash64("c", F.lit(round_)), F.lit(PIVOTS << round_))
-    pivots = members.withColumn("s", salt).groupBy("k", "s").agg(F.min(F.struct(F.xxhash64("c", F.lit(round_)), "c", "n")).alias("p")).select("k", F.col("p.c").alias("p"), F.col("p.n").alias("pn"))
-    return members.join(pivots, "k").where((F.col("p") != F.col("c")) & fits(F.col("n"), F.col("pn"))).select("k", "c", F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b"))
+def large_members(cand: DataFrame, pool: DataFrame) -> DataFrame:
+    """k, c, n, w, top of buckets over SMALL, split by set size: similar sets are in the same or in neighbouring
+    classes. w is in how many large buckets a set is. top is the largest size
+    of a set that can reach the threshold with this one: of its shingles, those that no other member has cannot be
+    shared, and |x & y| / |x | y| >= 4 / 5 needs 9 |x & y| >= 4 (|x| + |y|)."""
+    of = cand.where(F.col("m") > SMALL).select("k", "c", "n")
+    central = of.groupBy("c").agg(F.count(F.lit(1)).alias("w"))
 
+    def rows(batches):
+        for b in batches:
+            for c, t in zip(b["c"], b["text"], strict=True):
+                for h in shingle_set(t, WORDS).view(np.int64).tolist():
+                    yield h, c
+
+    every = map_rows(pool.join(central, "c").select("c", "text"), "h bigint, c bigint", rows, 20_000)
+    alone = every.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c")).where("m = 1").groupBy("c").agg(F.count(F.lit(1)).alias("u"))
+    known = central.join(alone, "c", "left").select("c", "w", F.coalesce("u", F.lit(0)).alias("u"))
+    size = F.floor(F.log("n") / math.log(1 / THRESHOLD))
+    top = F.floor((9 * (F.col("n") - F.col("u")) - 4 * F.col("n")) / 4)
+    of = of.join(known, "c").select("k", "c", "n", "w", top.alias("top"), size.alias("own")).withColumn("size", F.explode(F.array("own", F.col("own") + 1)))
+    return of.select(F.xxhash64("k", "size").alias("k"), "c", "n", "w", "top", (F.col("own") == F.col("size")).alias("own"))
 
-def not_pivots(members: DataFrame, round_: int) -> DataFrame:
-    salt = F.pmod(F.xxhash64("c", F.lit(round_)), F.lit(PIVOTS << round_))
-    pivots = members.withColumn("s", salt).groupBy("k", "s").agg(F.min(F.struct(F.xxhash64("c", F.lit(round_)), "c")).alias("p")).select("k", F.col("p.c").alias("c"))
-    return members.join(pivots, ["k", "c"], "left_anti")
+
+def pivots(members: DataFrame, round_: int) -> DataFrame:
+    """k, p, pn, ptop, pown: of each bucket the most central members, those with the smallest part of unshared
+    shingles, one in the first round and then eight times as many each time."""
+    share = F.pmod(F.xxhash64("c", F.lit(round_)), F.lit(8**round_))
+    best = members.withColumn("s", share).groupBy("k", "s").agg(F.max(F.struct((F.col("top") / F.col("n")).alias("r"), "w", F.xxhash64("c"), "c", "n", "top", "own")).alias("p"))
+    return best.select("k", F.col("p.c").alias("p"), F.col("p.n").alias("pn"), F.col("p.top").alias("ptop"), F.col("p.own").alias("pown"))
+
+
+def reachable(members: DataFrame) -> DataFrame:
+    """Members for which the bucket has sizes and tops that allow a link; the sizes of a bucket are within a factor."""
+    tops = members.groupBy("k", "n").agg(F.max("top").alias("t")).groupBy("k").agg(F.collect_list(F.struct("n", "t")).alias("ts"))
+    met = F.exists("ts", lambda y: (y["n"] <= F.col("top")) & (y["t"] >= F.col("n")))
+    return members.join(tops, "k").where(met).drop("ts")
 
 
 def plausible(pairs: DataFrame, pool: DataFrame) -> DataFrame:
@@ -150,29 +174,23 @@ def plausible(pairs: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, pool: DataFrame) -> DataFrame:
-    """The pairs whose sets reach the threshold. Rows of a pivot follow its own text; a pivot with many pairs is dealt
-    over several tasks, each with the pivot's text."""
+    """The pairs whose sets reach the threshold; adaptive execution splits a pivot's many pairs over tasks."""
     text = pool.select("c", "text")
-    shares = F.floor((F.col("m") - 1) / TOGETHER).cast("int") + 1
-    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).withColumn("shares", shares).select("a", "shares")
-    heads = sizes.join(text.withColumnRenamed("c", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("s"), F.lit(None).cast("bigint").alias("b"), "text")
-    rest = pairs.join(text.withColumnRenamed("c", "b"), "b").join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("s"), "b", "text")
-    dealt = heads.unionByName(rest).repartition("a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first())
+    both = pairs.join(text.toDF("b", "y"), "b").join(text.toDF("a", "x"), "a")
 
     def rows(batches):
-        head = np.empty(0, np.uint64)
+        of, x = None, np.empty(0, np.uint64)
         for batch in batches:
-            for a, b, t in zip(batch["a"], batch["b"], batch["text"], strict=True):
-                x = shingle_set(t, WORDS)
-                if b is None:
-                    head = x
-                    continue
-                at = np.searchsorted(head, x)
-                common = int((head[np.minimum(at, len(head) - 1)] == x).sum()) if len(head) else 0
-                if common and 5 * common >= 4 * (len(head) + len(x) - common):
+            for a, b, s, t in zip(batch["a"], batch["b"], batch["x"], batch["y"], strict=True):
+                if a != of:  # rows of a pivot follow each other
+                    of, x = a, shingle_set(s, WORDS)
+                y = shingle_set(t, WORDS)
+                at = np.searchsorted(x, y)
+                common = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
+                if common and 5 * common >= 4 * (len(x) + len(y) - common):
                     yield a, b
 
-    return map_rows(dealt.select("a", "b", "text"), "a bigint, b bigint", rows)
+    return map_rows(both.select("a", "b", "x", "y"), "a bigint, b bigint", rows)
 
 
 def links(scratch: Scratch, reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -193,21 +211,23 @@ def links(scratch: Scratch, reps: DataFrame, texts: DataFrame) -> DataFrame:
         return reduce(DataFrame.unionByName, found)
 
     pairs = all_pairs(cand.where(F.col("m") <= SMALL))
-    size = F.floor(F.log("n") / math.log(1 / THRESHOLD))
-    large = cand.where(F.col("m") > SMALL).select(F.col("k").alias("band"), "c", "n", F.explode(F.array(size, size + 1)).alias("size")).select(F.xxhash64("band", "size").alias("k"), "c", "n")
-    large, round_ = scratch.keep(large, "large"), 0
+    large, round_ = scratch.keep(large_members(cand, pool), "large"), 0
     while True:
-        sizes = large.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        now = large.join(sizes, "k")
-        pairs = pairs.unionByName(all_pairs(now.where(F.col("m") <= SMALL).drop("m")))
-        now = now.where(F.col("m") > SMALL).drop("m")
-        tried = scratch.keep(pivot_pairs(now, round_), f"tried{round_}")
+        # members that no set of their bucket can be similar to are done
+        now = scratch.keep(reachable(large), f"reachable{round_}")
+        sizes = now.groupBy("k").agg(F.count(F.lit(1)).alias("left")).where("left > 1")
+        now = scratch.keep(now.join(sizes, "k"), f"now{round_}")
+        pairs = pairs.unionByName(all_pairs(now.where(F.col("left") <= SMALL).select("k", "c", "n")))
+        now = now.where(F.col("left") > SMALL).drop("left")
+        of = scratch.keep(pivots(now, round_), f"pivots{round_}")
+        able = (F.col("p") != F.col("c")) & (F.col("n") <= F.col("ptop")) & (F.col("pn") <= F.col("top")) & (F.col("own") | F.col("pown"))
+        tried = scratch.keep(now.join(of, "k").where(able).select("k", "c", F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")), f"tried{round_}")
         linked = judge(pairs.unionByName(tried.select("a", "b")), str(round_))
-        done = tried.join(linked, ["a", "b"], "left_semi").select("k", "c").distinct()
-        large = scratch.keep(not_pivots(now, round_).join(done, ["k", "c"], "left_anti"), f"large{round_}")
+        done = tried.join(linked, ["a", "b"], "left_semi").select("k", "c").unionByName(of.select("k", F.col("p").alias("c"))).distinct()
+        large = scratch.keep(now.join(done, ["k", "c"], "left_anti"), f"large{round_ + 1}")
         if large.isEmpty():
             return linked
-        pairs, round_ = large.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0), round_ + 1
+        pairs, round_ = linked.limit(0), round_ + 1
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
