@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, hmm, mixing, near, quality, toxicity, warc
+from . import chat, decontaminate, hmm, mixing, near, pii, quality, toxicity, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.joined(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(spark, table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op3_jaccard, op5_mixing, op6_quality, op7_warc, op8_decontaminate, op9_hmm, op10_toxicity)
+    f.__name__: f for f in (op1_chat_format, op3_jaccard, op4_surrogates, op5_mixing, op6_quality, op7_warc, op8_decontaminate, op9_hmm, op10_toxicity)
 }
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')"
