@@ -88,12 +88,13 @@ def pick(choices: list[str], hexes: Column, at: int) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in choices]), F.pmod(F.conv(F.substring(hexes, at, 4), 16, 10).cast("int"), F.lit(len(choices))) + 1)
 
 
-def surrogate(m: Column, attempt: Column) -> Column:
+def hexes_of(kind: Column, of: Column, attempt: Column) -> Column:
+    """256 hex digits: as many as a code of the longest kind needs."""
+    return F.concat(*[digest(kind, of, attempt, i) for i in range(4)])
+
+
+def surrogate(m: Column, kind: Column, hexes: Column) -> Column:
     """The replacement of a mention."""
-    kind = kind_of(m)
-    of = canonical(kind, m)
-    # 256 hex digits: as many as a code of the longest kind needs
-    hexes = F.concat(*[digest(kind, of, attempt, i) for i in range(4)])
     octets = F.concat_ws(".", *[(F.pmod(F.conv(F.substring(hexes, 1 + 2 * i, 2), 16, 10).cast("int"), F.lit(254)) + 1).cast("string") for i in range(4)])
     code = F.substring(hexes, F.lit(1), F.length(m))
     code = F.when(m == F.upper(m), F.upper(code)).otherwise(code)
@@ -130,7 +131,8 @@ def exceptions(spark: SparkSession, docs: DataFrame) -> DataFrame | None:
     known = scratch.keep(entities(docs).withColumn("attempt", F.lit(0)), "entities0")
     step = 0
     while True:
-        made = known.withColumn("s", canonical(F.col("kind"), surrogate(F.col("m"), F.col("attempt"))))
+        made = known.withColumn("hexes", hexes_of(F.col("kind"), F.col("of"), F.col("attempt")))
+        made = made.withColumn("s", surrogate(F.col("m"), F.col("kind"), F.col("hexes"))).drop("hexes").withColumn("s", canonical(F.col("kind"), F.col("s")))
         # of those with one surrogate the first keeps it, unless it is the form of a real entity
         first = made.groupBy("kind", "s").agg(F.min("of").alias("first"))
         made = made.join(first, ["kind", "s"]).join(known.select("kind", F.col("of").alias("s"), F.lit(True).alias("real")), ["kind", "s"], "left")
@@ -160,7 +162,12 @@ def replaced(spark: SparkSession, docs: DataFrame) -> DataFrame:
         out = some.unionByName(none, allowMissingColumns=True)
         attempt = lambda m: F.coalesce(F.try_element_at(F.col("_a_of_pii"), m), F.lit(0))
     gaps = F.split("text", PATTERN, -1)
-    joined = F.array_join(F.zip_with(gaps, F.transform("_m_of_pii", lambda m: surrogate(m, attempt(m))), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    # step by step, so that no step repeats the expressions of the one before
+    made = F.transform("_m_of_pii", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"), attempt(m).alias("attempt")))
+    made = F.transform(made, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), canonical(x["kind"], x["m"]).alias("of"), x["attempt"].alias("attempt")))
+    made = F.transform(made, lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), hexes_of(x["kind"], x["of"], x["attempt"]).alias("hexes")))
+    made = F.transform(made, lambda x: surrogate(x["m"], x["kind"], x["hexes"]))
+    joined = F.array_join(F.zip_with(gaps, made, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     text = F.when(F.size("_m_of_pii") > 0, joined).otherwise(F.col("text"))
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in names], F.greatest(F.size("_m_of_pii"), F.lit(0)).cast("bigint").alias("n_mentions_of_pii"))
 
