@@ -25,7 +25,7 @@ from .common import LOWER, crc_mod, keep_rows, map_rows, utf8
 
 THRESHOLD = 0.7
 #: Bounds of the training sample: documents and bytes of each kind. Scores cover all rows.
-SAMPLE_DOCS, SAMPLE_BYTES = 6000, 24 << 20
+SAMPLE_DOCS, SAMPLE_BYTES = 3000, 10 << 20
 WINDOW, DICTIONARY, LEVEL = 96, 16384, 12
 #: A segment goes into the toxic dictionary if the root of its log-likelihood ratio against equal shares of documents
 #: is over this, and if the shares differ by this part of the largest difference.
