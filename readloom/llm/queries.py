@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, hmm, mixing, near, pii, quality, toxicity, warc
+from . import chat, decontaminate, hmm, mixing, near, pii, quality, repeats, toxicity, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.formatted(turns))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.joined(spark, table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op3_jaccard, op4_surrogates, op5_mixing, op6_quality, op7_warc, op8_decontaminate, op9_hmm, op10_toxicity)
+    f.__name__: f for f in (op1_chat_format, op2_repeats, op3_jaccard, op4_surrogates, op5_mixing, op6_quality, op7_warc, op8_decontaminate, op9_hmm, op10_toxicity)
 }
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')"
