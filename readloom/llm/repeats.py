@@ -2,7 +2,8 @@
 
 A repeated string of LENGTH bytes has the same minimal SEED-gram (by hash, leftmost) wherever it occurs, so the windows of
 a text are dealt by that seed: consecutive windows with one seed make a segment, and equal strings lie in segments of
-one seed. Only seeds that occur more than once are looked at. Equal segments are one form with a weight.
+one seed. Only seeds that occur more than once, with equal bytes on one side at least, are looked at. Equal segments
+are one form with a weight.
 
 The forms of a batch of seeds are sharded; the Burrows-Wheeler transforms of the shards are merged by refining their
 interleave: each step sorts stably by the symbol before, which orders all suffixes by one more byte without sorting
@@ -27,17 +28,20 @@ from .common import Scratch, map_rows, utf8
 from .shingles import prefixes, spans
 
 LENGTH, SEED = 200, 64
+SIDE = (LENGTH - SEED) // 2
 #: Text bytes in a batch, and in one of its shards; forms of a seed beyond which its windows are dealt out.
 BATCH, SHARD, LARGE = 1 << 17, 1 << 15, 2000
 #: Windows of a text that are hashed at a time.
 SLICE = 1 << 22
 
 
-def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """seed hash, hash of the segment, first and last window start, for the segments of a text."""
+def segments(data: bytes) -> tuple[np.ndarray, ...]:
+    """seed hash, hash of the segment, first and last window start, for the segments of a text; then hashes of the seed
+    with the SIDE bytes before and after it. Every window holds one of these two strings, or both; a segment none of
+    whose windows does gets a value of its own form instead."""
     n = len(data) - LENGTH + 1
     if n < 1:
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
+        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
     sums = prefixes(data)
     at = np.arange(len(data) - SEED + 1)
     h = spans(sums, at, at + SEED)
@@ -55,7 +59,11 @@ def segments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         seed[lo:hi] = (low & np.uint64((1 << 24) - 1)).astype(np.int64) + lo
     first = np.concatenate([[0], np.flatnonzero(np.diff(seed)) + 1])
     last = np.concatenate([first[1:] - 1, [n - 1]])
-    return h[seed[first]], spans(sums, first, last + LENGTH), first, last
+    form, at = spans(sums, first, last + LENGTH), seed[first]
+    before, after = at - SIDE >= first, at + SEED + SIDE <= last + LENGTH
+    left = np.where(before, spans(sums, np.maximum(at - SIDE, 0), at + SEED), form * np.uint64(3))
+    right = np.where(after, spans(sums, at, np.minimum(at + SEED + SIDE, len(data))), form * np.uint64(5))
+    return h[at], form, first, last, left, right
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -64,15 +72,15 @@ def located(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 64):
-                cols = [[], [], [], [], []]
+                cols = [[], [], [], [], [], [], []]
                 part = b.slice(at, 64)
                 for row, text in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    seed, form, lo, hi = segments(utf8(text))
-                    for c, x in zip(cols, (seed.view(np.int64), form.view(np.int64), np.full(len(lo), row), lo.astype(np.int32), hi.astype(np.int32)), strict=True):
+                    seed, form, lo, hi, left, right = segments(utf8(text))
+                    for c, x in zip(cols, (seed.view(np.int64), form.view(np.int64), np.full(len(lo), row), lo.astype(np.int32), hi.astype(np.int32), left.view(np.int64), right.view(np.int64)), strict=True):
                         c.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["seed", "form", "row", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["seed", "form", "row", "lo", "hi", "left", "right"])
 
-    return docs.select("row", "text").mapInArrow(run, "seed bigint, form bigint, row bigint, lo int, hi int")
+    return docs.select("row", "text").mapInArrow(run, "seed bigint, form bigint, row bigint, lo int, hi int, left bigint, right bigint")
 
 
 def bwt_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,12 +194,16 @@ def removed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     shared = every.groupBy("seed").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("seed")
     some = scratch.keep(every.join(shared, "seed", "left_semi"), "shared")
     scratch.drop("segments")
-    forms = some.groupBy("seed", "form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo", "hi")).alias("at"))
+    forms = some.groupBy("seed", "form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "lo", "hi", "left", "right")).alias("at"))
     forms = scratch.keep(forms.join(forms.groupBy("seed").agg(F.count(F.lit(1)).alias("d")), "seed"), "forms")
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("at.hi") - F.col("at.lo") + 1).alias("b")))
     # a seed's only form is one interval of its own transform, of its weight
     single = forms.where("d = 1").select("seed", "form", whole.alias("starts"))
-    pieces = forms.where("d > 1").select("seed", "form", "n", "d", "at.*").join(docs.select("row", F.col("text").cast("binary").alias("bytes")), "row")
+    # a form whose seed has no twin with the same bytes on either side has no repeated window
+    forms = forms.where("d > 1").select("*", "at.left", "at.right")
+    twins = {c: forms.groupBy(c).agg(F.sum("n").alias("m")).where("m > 1").select(c) for c in ("left", "right")}
+    forms = forms.join(twins["left"], "left", "left_semi").unionByName(forms.join(twins["right"], "right", "left_semi").join(twins["left"], "left", "left_anti"))
+    pieces = forms.select("seed", "form", "n", "d", "at.row", "at.lo", "at.hi").join(docs.select("row", F.col("text").cast("binary").alias("bytes")), "row")
     pieces = scratch.keep(pieces.select("seed", "form", "n", "d", F.expr(f"substring(bytes, lo + 1, hi - lo + {LENGTH})").alias("data")), "pieces")
     few = flagged(pieces.where(F.col("d") <= LARGE).repartition("seed").sortWithinPartitions("seed", "form"))
     windows = pieces.where(F.col("d") > LARGE).select("seed", "form", "n", "data", F.explode(F.sequence(F.lit(0), F.octet_length("data") - LENGTH)).alias("off"))
