@@ -8,14 +8,18 @@ below the tolerance; the sets of the rest are compared exactly. Verified links m
 A bucket of a band with up to SMALL members proposes all its pairs. A larger one is split by set size (similar sets are
 of similar size), loses the members whose unshared shingles rule out every link, and proposes pairs with its most
 central member; members that it is not linked to stay for the next round, with eight times the pivots, until none is left or
-few enough for all pairs. So a bucket that holds a third of all rows costs a few pairs a row, no group is ever
+few enough for all pairs. What that leaves out are links between a set x that a pivot p took and a set y that it did
+not. Such a y is within twice the distance of p, and x and y share a shingle of what each does not share with p
+(otherwise they differ by as much as y and p do, or more); where y is not in p's class anyhow, an index on those
+differences proposes the pairs. So a bucket that holds a third of all rows costs a few pairs a row, no group is ever
 collected, and nothing is capped. A link at the threshold is missed
 by all bands with probability (1 - 0.8 ** 4) ** 32 = 5e-8, and by the pruning with the tolerance, 1e-6.
 
 Defined results: words are separated by ASCII blanks; a text with fewer than five words is one shingle; a null or empty
 text has none and is a class of its own; repeated rows are copies; class_id is the smallest doc_id of the class (null
 if it has none), n_links the number of other documents with the same set or with a set that a direct comparison linked
-to it; in a bucket of over SMALL members not every pair is compared, so there it may be less than all that are similar."""
+to it; in a bucket of over SMALL members pairs that are in one class already are not compared, so there it may be less
+than all that are similar."""
 
 from __future__ import annotations
 
@@ -28,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import Scratch, map_rows
 from .shingles import shingle_set
@@ -148,15 +153,16 @@ def pivots(members: DataFrame, round_: int) -> DataFrame:
 
 
 def reachable(members: DataFrame) -> DataFrame:
-    """Members for which the bucket has sizes and tops that allow a link; the sizes of a bucket are within a factor."""
-    tops = members.groupBy("k", "n").agg(F.max("top").alias("t")).groupBy("k").agg(F.collect_list(F.struct("n", "t")).alias("ts"))
-    met = F.exists("ts", lambda y: (y["n"] <= F.col("top")) & (y["t"] >= F.col("n")))
+    """Members for which the bucket has sizes and tops that allow a link; the sizes of a bucket are within a factor.
+    A member of the class below is there to meet the bucket's own ones: with another such it meets in its own bucket."""
+    tops = members.groupBy("k", "n", "own").agg(F.max("top").alias("t")).groupBy("k").agg(F.collect_list(F.struct("n", "t", "own")).alias("ts"))
+    met = F.exists("ts", lambda y: (y["n"] <= F.col("top")) & (y["t"] >= F.col("n")) & (y["own"] | F.col("own")))
     return members.join(tops, "k").where(met).drop("ts")
 
 
-def plausible(pairs: DataFrame, pool: DataFrame) -> DataFrame:
-    """The pairs that Bayesian pruning leaves."""
-    least = least_matches()
+def plausible(pairs: DataFrame, pool: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs a, b that Bayesian pruning leaves."""
+    least = least_matches(threshold)
     sig = pool.select("c", "sig")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
@@ -193,13 +199,62 @@ def verified(pairs: DataFrame, pool: DataFrame) -> DataFrame:
     return map_rows(both.select("a", "b", "x", "y"), "a bigint, b bigint", rows)
 
 
+def differences(pairs: DataFrame, pool: DataFrame) -> DataFrame:
+    """p, c, n, d, h: for pairs p, c, each shingle h that only one of both sets has; n is the size of c, d how many h."""
+    text = pool.select("c", "text")
+    both = pairs.select("p", "c").join(text, "c").join(text.toDF("p", "x"), "p").select("p", "c", "x", "text")
+
+    def rows(batches):
+        of, x = None, np.empty(0, np.uint64)
+        for batch in batches:
+            for p, c, s, t in zip(batch["p"], batch["c"], batch["x"], batch["text"], strict=True):
+                if p != of:
+                    of, x = p, shingle_set(s, WORDS)
+                y = shingle_set(t, WORDS)
+                only = np.setxor1d(x, y, assume_unique=True).view(np.int64).tolist()
+                for h in only:
+                    yield p, c, len(y), len(only), h
+
+    return map_rows(both, "p bigint, c bigint, n bigint, d bigint, h bigint", rows, 20_000)
+
+
+def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: DataFrame, pool: DataFrame) -> DataFrame:
+    """Verified links between classes that pivots left apart. met: each round's members and pivots; found: links.
+
+    y in a bucket with a pivot p, but not in p's class, can be similar to an x that p took only if 1 - J(p, y) is at
+    most twice 1 - THRESHOLD. Of y's differences from p, those that x lacks are differences of x and y, of which there
+    are at most n / 4; so of the n // 4 + 1 that fewest x have, in any fixed order, x has one."""
+    roots = scratch.keep(components(scratch, found), "met_roots")
+    ends = found.toDF("p", "c").unionByName(found.select(F.col("b").alias("p"), F.col("a").alias("c")))
+    least = 2 * THRESHOLD - 1
+    apart = []
+    for members, of in met:
+        taking = of.select("k", "p", "pn").join(ends.select("p"), "p", "left_semi").join(roots.toDF("p", "proot"), "p")
+        other = members.select("k", "c", "n").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+        near = F.least("n", "pn") >= least * F.greatest("n", "pn")
+        apart.append(other.join(taking, "k").where((F.col("root") != F.col("proot")) & near).select(F.col("p").alias("a"), F.col("c").alias("b")))
+    ys = scratch.keep(plausible(reduce(DataFrame.unionByName, apart).distinct(), pool, least), "apart").toDF("p", "c")
+    if ys.isEmpty():
+        return found.limit(0)
+    xs = ends.join(ys.select("p").distinct(), "p", "left_semi").distinct()
+    of_x = scratch.keep(differences(xs, pool).select("p", "h", F.col("c").alias("x"), F.col("n").alias("xn")), "differences_x")
+    common = of_x.groupBy("p", "h").agg(F.count(F.lit(1)).alias("m"))
+    of_y = differences(ys, pool).join(common, ["p", "h"])
+    one = Window.partitionBy("p", "c")
+    of_y = of_y.withColumn("at", F.row_number().over(one.orderBy("m", "h"))).withColumn("had", F.count(F.lit(1)).over(one))
+    of_y = of_y.where(F.col("at") <= F.floor(F.col("n") / 4) + 1 - (F.col("d") - F.col("had")))
+    pairs = of_y.join(of_x, ["p", "h"]).where(fits(F.col("n"), F.col("xn")) & (F.col("c") != F.col("x")))
+    pairs = scratch.keep(pairs.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct(), "bridges")
+    return scratch.keep(verified(plausible(pairs, pool), pool), "bridged")
+
+
 def links(scratch: Scratch, reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified pairs of representatives. reps: c, n, sig; texts: c, text."""
     every = bands(reps)
     shared = every.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     cand = scratch.keep(every.join(shared, "k"), "candidates")
     pool = scratch.keep(reps.join(cand.select("c").distinct(), "c", "left_semi").join(texts, "c"), "pool")
-    found, judged = [], None
+    found, judged, met = [], None, []
 
     def judge(pairs: DataFrame, name: str) -> DataFrame:
         nonlocal judged
@@ -220,19 +275,21 @@ def links(scratch: Scratch, reps: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = pairs.unionByName(all_pairs(now.where(F.col("left") <= SMALL).select("k", "c", "n")))
         now = now.where(F.col("left") > SMALL).drop("left")
         of = scratch.keep(pivots(now, round_), f"pivots{round_}")
+        met.append((now, of))
         able = (F.col("p") != F.col("c")) & (F.col("n") <= F.col("ptop")) & (F.col("pn") <= F.col("top")) & (F.col("own") | F.col("pown"))
         tried = scratch.keep(now.join(of, "k").where(able).select("k", "c", F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")), f"tried{round_}")
         linked = judge(pairs.unionByName(tried.select("a", "b")), str(round_))
         done = tried.join(linked, ["a", "b"], "left_semi").select("k", "c").unionByName(of.select("k", F.col("p").alias("c"))).distinct()
         large = scratch.keep(now.join(done, ["k", "c"], "left_anti"), f"large{round_ + 1}")
         if large.isEmpty():
-            return linked
+            return linked.unionByName(bridges(scratch, met, linked, pool)).distinct()
         pairs, round_ = linked.limit(0), round_ + 1
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """c, root: the smallest node that each node of the edges a, b is connected to. Large and small stars by turns,
     until every node hangs on its root."""
+    scratch = Scratch(scratch.spark, "components")
     edges = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges0")
     state, step = None, 0
     while True:
