@@ -40,6 +40,7 @@ from .shingles import shingle_set
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, ROWS, STEP = 128, 4, 16
 SMALL = 16
+BITS = 1 << 22
 _rng = np.random.default_rng(20)
 MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -199,8 +200,20 @@ def verified(pairs: DataFrame, pool: DataFrame) -> DataFrame:
     return map_rows(both.select("a", "b", "x", "y"), "a bigint, b bigint", rows)
 
 
-def differences(pairs: DataFrame, pool: DataFrame) -> DataFrame:
-    """p, c, n, d, h: for pairs p, c, each shingle h that only one of both sets has; n is the size of c, d how many h."""
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """BITS flags; that of h modulo BITS is set for every h. At most BITS / 8 bytes come to the driver."""
+    at = F.pmod("h", F.lit(BITS)) + 1
+    parts = hashes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(BITS, bool)
+    for k, bits in parts:
+        flags = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+        out[(k - 1) * len(flags) : k * len(flags)] = flags
+    return np.packbits(out)
+
+
+def differences(pairs: DataFrame, pool: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """p, c, n, d, h: for pairs p, c, each shingle h that only one of both sets has; n is the size of c, d how many h.
+    Pairs at more than twice the distance of the threshold have none. With a bitmap, only the h whose flag is set."""
     text = pool.select("c", "text")
     both = pairs.select("p", "c").join(text, "c").join(text.toDF("p", "x"), "p").select("p", "c", "x", "text")
 
@@ -211,20 +224,27 @@ def differences(pairs: DataFrame, pool: DataFrame) -> DataFrame:
                 if p != of:
                     of, x = p, shingle_set(s, WORDS)
                 y = shingle_set(t, WORDS)
-                only = np.setxor1d(x, y, assume_unique=True).view(np.int64).tolist()
-                for h in only:
-                    yield p, c, len(y), len(only), h
+                only = np.setxor1d(x, y, assume_unique=True)
+                d = len(only)
+                every = (len(x) + len(y) + d) // 2
+                if d > 2 * (1 - THRESHOLD) * every + 1e-6:
+                    continue
+                if wanted is not None:
+                    at = only % np.uint64(BITS)
+                    only = only[(wanted[at >> np.uint64(3)] >> (np.uint64(7) - at % np.uint64(8)).astype(np.uint8)) & 1 == 1]
+                for h in only.view(np.int64).tolist():
+                    yield p, c, len(y), d, h
 
     return map_rows(both, "p bigint, c bigint, n bigint, d bigint, h bigint", rows, 20_000)
 
 
-def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: DataFrame, pool: DataFrame) -> DataFrame:
-    """Verified links between classes that pivots left apart. met: each round's members and pivots; found: links.
+def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: DataFrame, roots: DataFrame, pool: DataFrame) -> DataFrame | None:
+    """Verified links between classes that pivots left apart, if any may be. met: each round's members and pivots;
+    found: the links so far, and roots their components.
 
     y in a bucket with a pivot p, but not in p's class, can be similar to an x that p took only if 1 - J(p, y) is at
     most twice 1 - THRESHOLD. Of y's differences from p, those that x lacks are differences of x and y, of which there
     are at most n / 4; so of the n // 4 + 1 that fewest x have, in any fixed order, x has one."""
-    roots = scratch.keep(components(scratch, found), "met_roots")
     ends = found.toDF("p", "c").unionByName(found.select(F.col("b").alias("p"), F.col("a").alias("c")))
     least = 2 * THRESHOLD - 1
     apart = []
@@ -235,11 +255,13 @@ def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: Dat
         apart.append(other.join(taking, "k").where((F.col("root") != F.col("proot")) & near).select(F.col("p").alias("a"), F.col("c").alias("b")))
     ys = scratch.keep(plausible(reduce(DataFrame.unionByName, apart).distinct(), pool, least), "apart").toDF("p", "c")
     if ys.isEmpty():
-        return found.limit(0)
+        return None
+    of_y = scratch.keep(differences(ys, pool), "differences_y")
     xs = ends.join(ys.select("p").distinct(), "p", "left_semi").distinct()
-    of_x = scratch.keep(differences(xs, pool).select("p", "h", F.col("c").alias("x"), F.col("n").alias("xn")), "differences_x")
+    of_x = differences(xs, pool, bitmap(of_y)).select("p", "h", F.col("c").alias("x"), F.col("n").alias("xn"))
+    of_x = scratch.keep(of_x, "differences_x")
     common = of_x.groupBy("p", "h").agg(F.count(F.lit(1)).alias("m"))
-    of_y = differences(ys, pool).join(common, ["p", "h"])
+    of_y = of_y.join(common, ["p", "h"])
     one = Window.partitionBy("p", "c")
     of_y = of_y.withColumn("at", F.row_number().over(one.orderBy("m", "h"))).withColumn("had", F.count(F.lit(1)).over(one))
     of_y = of_y.where(F.col("at") <= F.floor(F.col("n") / 4) + 1 - (F.col("d") - F.col("had")))
@@ -248,8 +270,8 @@ def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: Dat
     return scratch.keep(verified(plausible(pairs, pool), pool), "bridged")
 
 
-def links(scratch: Scratch, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified pairs of representatives. reps: c, n, sig; texts: c, text."""
+def links(scratch: Scratch, reps: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified pairs a, b of representatives, and c, root: their components. reps: c, n, sig; texts: c, text."""
     every = bands(reps)
     shared = every.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     cand = scratch.keep(every.join(shared, "k"), "candidates")
@@ -261,10 +283,16 @@ def links(scratch: Scratch, reps: DataFrame, texts: DataFrame) -> DataFrame:
         fresh = pairs.distinct()
         fresh = scratch.keep(fresh if judged is None else fresh.join(judged, ["a", "b"], "left_anti"), f"pairs{name}")
         judged = fresh if judged is None else judged.unionByName(fresh)
-        left = scratch.keep(plausible(fresh, pool), f"left{name}")
-        found.append(scratch.keep(verified(left, pool), f"links{name}"))
+        found.append(scratch.keep(verified(plausible(fresh, pool), pool), f"links{name}"))
         return reduce(DataFrame.unionByName, found)
 
+    def connected(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        roots = scratch.keep(components(scratch, linked), "roots")
+        bridged = bridges(scratch, met, linked, roots, pool)
+        if bridged is None or bridged.isEmpty():
+            return linked, roots
+        return linked.unionByName(bridged).distinct(), merged(scratch, roots, bridged)
+
     pairs = all_pairs(cand.where(F.col("m") <= SMALL))
     large, round_ = scratch.keep(large_members(cand, pool), "large"), 0
     while True:
@@ -275,6 +303,8 @@ def links(scratch: Scratch, reps: DataFrame, texts: DataFrame) -> DataFrame:
         pairs = pairs.unionByName(all_pairs(now.where(F.col("left") <= SMALL).select("k", "c", "n")))
         now = now.where(F.col("left") > SMALL).drop("left")
         of = scratch.keep(pivots(now, round_), f"pivots{round_}")
+        if round_ and of.isEmpty():
+            return connected(judge(pairs, str(round_)))
         met.append((now, of))
         able = (F.col("p") != F.col("c")) & (F.col("n") <= F.col("ptop")) & (F.col("pn") <= F.col("top")) & (F.col("own") | F.col("pown"))
         tried = scratch.keep(now.join(of, "k").where(able).select("k", "c", F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")), f"tried{round_}")
@@ -282,7 +312,7 @@ def links(scratch: Scratch, reps: DataFrame, texts: DataFrame) -> DataFrame:
         done = tried.join(linked, ["a", "b"], "left_semi").select("k", "c").unionByName(of.select("k", F.col("p").alias("c"))).distinct()
         large = scratch.keep(now.join(done, ["k", "c"], "left_anti"), f"large{round_ + 1}")
         if large.isEmpty():
-            return linked.unionByName(bridges(scratch, met, linked, pool)).distinct()
+            return connected(linked)
         pairs, round_ = linked.limit(0), round_ + 1
 
 
@@ -307,14 +337,23 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         state, step = now, step + 1
 
 
+def merged(scratch: Scratch, roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """c, root of components that further edges join; only their roots are connected anew."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    known = ends.join(roots, "c", "left").select("c", F.coalesce("root", "c").alias("root"))
+    short = edges.join(known.toDF("a", "ra"), "a").join(known.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    joins = components(scratch, short).toDF("root", "least")
+    every = roots.unionByName(known).distinct()
+    return scratch.keep(every.join(joins, "root", "left").select("c", F.coalesce("least", "root").alias("root")), "merged")
+
+
 def grouped(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sketched documents, and _row, class (the smallest row of the document's class) and n_links of each row."""
     scratch = Scratch(spark, "near")
     base = scratch.keep(sketched(docs), "documents")
     sets = base.where(F.col("_key").isNotNull())
     reps = scratch.keep(sets.groupBy("_key").agg(F.min("_row").alias("c"), F.first("_n").alias("n"), F.first("_sig").alias("sig"), F.count(F.lit(1)).alias("m")), "sets")
-    found = scratch.keep(links(scratch, reps.select("c", "n", "sig"), base.select(F.col("_row").alias("c"), "text")), "links")
-    roots = components(scratch, found)
+    found, roots = links(scratch, reps.select("c", "n", "sig"), base.select(F.col("_row").alias("c"), "text"))
     ends = found.select(F.col("a").alias("c"), F.col("b").alias("d")).unionByName(found.select(F.col("b").alias("c"), F.col("a").alias("d")))
     degree = ends.join(reps.select(F.col("c").alias("d"), "m"), "d").groupBy("c").agg(F.sum("m").alias("others"))
     classes = reps.select("_key", "c", "m").join(roots, "c", "left").join(degree, "c", "left")

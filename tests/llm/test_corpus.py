@@ -82,6 +82,31 @@ def test_near(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(DOCS) - 3
 
 
+def test_near_chains(spark):
+    """Copies of copies of one text, many just beyond the reach of a bucket's pivot: classes equal brute force."""
+    import random
+
+    from readloom.llm.shingles import shingle_set
+
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 240):
+        w = list(rows[r.randrange(max(0, i - 60), i)][1].split() if r.random() < 0.7 else base)
+        for _ in range(r.choice([1, 2, 3, 3, 4, 5])):
+            w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    root, sets = list(range(len(rows))), [set(shingle_set(t).tolist()) for _, t in rows]
+    for a, x in enumerate(sets):
+        for b in range(a):
+            common = len(x & sets[b])
+            if 5 * common >= 4 * (len(x) + len(sets[b]) - common) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if c == high else c for c in root]
+    got = near.joined(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {g["doc_id"]: g["class_id"] for g in got} == dict(enumerate(root))
+
+
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame([("p", " ".join(BASE.split()[:13])), ("q", "one two"), ("r", None), ("s", "...")], "item_id string, text string")
     found = {r["doc_id"]: r for r in decontaminate.digest(decontaminate.matches(spark, docs, bench)).collect()}
