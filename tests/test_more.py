@@ -85,3 +85,15 @@ def test_streaming_equals_batch(spark, tmp_path):
     out.writeStream.outputMode("complete").format("memory").queryName("folded").trigger(availableNow=True).start().awaitTermination()
     want = folds.running_frequency(sites, ["pos"], "bit")
     assert sorted(map(tuple, spark.table("folded").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_segments_and_tails_run_on_whole_tables(spark):
+    """The queries without SQL: a row a site, probabilities within bounds, segments equal to the pass they call."""
+    n = more.fx.sites(spark, DATA).count()
+    tails = more.QUERIES["poisson_binomial_window"](spark, DATA).toPandas()
+    assert len(tails) == n and tails["tail"].between(0, 1.000001).all()
+    found = more.QUERIES["hmm_segments"](spark, DATA).toPandas()
+    assert len(found) == n
+    one = found[found["read"] == found["read"].iloc[0]].sort_values("pos")
+    want = chains.posterior(one["bit"].to_numpy(), np.diff(one["pos"], prepend=one["pos"].iloc[0]).astype(float), (0.4, 0.05), (0.01, 0.02))
+    assert np.allclose(one["pb"], want, atol=1e-6)
