@@ -249,7 +249,7 @@ def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: Dat
     least = 2 * THRESHOLD - 1
     apart = []
     for members, of in met:
-        taking = of.select("k", "p", "pn").join(ends.select("p"), "p", "left_semi").join(roots.toDF("p", "proot"), "p")
+        taking = of.select("k", "p", "pn").join(ends.select("p"), "p", "left_semi").join(roots.toDF("p", "proot"), "p", "left").withColumn("proot", F.coalesce("proot", "p"))
         other = members.select("k", "c", "n").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
         near = F.least("n", "pn") >= least * F.greatest("n", "pn")
         apart.append(other.join(taking, "k").where((F.col("root") != F.col("proot")) & near).select(F.col("p").alias("a"), F.col("c").alias("b")))

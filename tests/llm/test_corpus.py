@@ -107,6 +107,19 @@ def test_near_chains(spark):
     assert {g["doc_id"]: g["class_id"] for g in got} == dict(enumerate(root))
 
 
+def test_near_links_past_pivots(spark):
+    """Each of 40 longer copies x of a text has a neighbour y that is similar to that x alone (168 of 210 shingles) and
+    not to the text (167 of 210), so no pivot but x itself leads to it."""
+    base = [f"w{i}" for i in range(192)]
+    rows = [(0, " ".join(base))]
+    for i in range(40):
+        x = [*base, f"t{i}"]
+        y = [f"y{i}x{j}" if 3 * i <= j - 30 < 3 * i + 17 else w for j, w in enumerate(x)]
+        rows += [(1 + i, " ".join(x)), (101 + i, " ".join(y))]
+    got = near.joined(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {g["class_id"] for g in got} == {0}
+
+
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame([("p", " ".join(BASE.split()[:13])), ("q", "one two"), ("r", None), ("s", "...")], "item_id string, text string")
     found = {r["doc_id"]: r for r in decontaminate.digest(decontaminate.matches(spark, docs, bench)).collect()}
