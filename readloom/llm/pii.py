@@ -37,7 +37,7 @@ SYLLABLES = {
 _name = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,128}(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,}(?![\p{L}\p{N}])",
     "account": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
     "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)",
     "address": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
@@ -46,8 +46,9 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{'|'.join(MALE + FEMALE)})\.? {_name}(?: {_name})?(?!\p{{L}})",
 }
 PATTERN = "|".join(PATTERNS.values())
-#: Texts without any of these have no mention; the test is cheap.
-HINT = rf"[0-9]{{3}}|@|[0-9]\.[0-9]|(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}"
+#: Every mention has one of these, so texts without any have no mention; the test is cheap. Secrets, accounts and cards
+#: need not have three digits in a row.
+HINT = rf"[0-9]{{3}}|@|[0-9A-Fa-f]{{32}}|[A-Z]{{2}}[0-9]{{2}}|[0-9](?:[ -]?[0-9]){{12}}|[0-9]\.[0-9]|(?:{'|'.join(MALE + FEMALE)})\.? \p{{Lu}}"
 
 
 def mentions(text: Column) -> Column:
@@ -89,14 +90,14 @@ def pick(choices: list[str], hexes: Column, at: int) -> Column:
 
 
 def hexes_of(kind: Column, of: Column, attempt: Column) -> Column:
-    """256 hex digits: as many as a code of the longest kind needs."""
+    """256 hex digits; longer codes repeat them."""
     return F.concat(*[digest(kind, of, attempt, i) for i in range(4)])
 
 
 def surrogate(m: Column, kind: Column, hexes: Column) -> Column:
     """The replacement of a mention."""
     octets = F.concat_ws(".", *[(F.pmod(F.conv(F.substring(hexes, 1 + 2 * i, 2), 16, 10).cast("int"), F.lit(254)) + 1).cast("string") for i in range(4)])
-    code = F.substring(hexes, F.lit(1), F.length(m))
+    code = F.substring(F.repeat(hexes, F.ceil(F.length(m) / 256).cast("int")), F.lit(1), F.length(m))
     code = F.when(m == F.upper(m), F.upper(code)).otherwise(code)
     mail = F.concat(F.lower(overlaid(F.substring_index(m, "@", 1), hexes, F.lit(0))), F.substring(hexes, 200, 6), F.lit("@"), F.substring(hexes, 210, 6), F.lit(".example"))
     mail = F.when(m == F.upper(m), F.upper(mail)).otherwise(mail)

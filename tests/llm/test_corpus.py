@@ -214,3 +214,14 @@ def test_toxicity(spark, docs, none):
     assert sum(got[d]["predicted"] == d % 2 for d, _ in marks) >= 115
     assert all(0 <= r["score"] <= 1 for r in got.values()) and toxicity.scored(spark, none, labels).count() == 0
     assert {r["score"] for r in toxicity.scored(spark, docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_pii_of_one_kind_alone(spark):
+    """Each text's only mention has no three digits in a row, or is a code of over 128 or over 256 digits."""
+    said = ["ab12" * 8, "AB12" * 10, "DE12AB1CDE2FGH3J", "41 11 11 11 11 11 11 11", "41-11-11-11-11-11-1", "ab12" * 40, "cd34" * 100]
+    df = spark.createDataFrame([(i, f"see {x} there") for i, x in enumerate(said)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.surrogates(spark, df).collect()}
+    for i, x in enumerate(said):
+        new = got[i]["text"][4:-6]
+        assert got[i]["n_entities"] == 1 and x not in got[i]["text"] and len(new) == len(x), x
+        assert got[i]["text"] == f"see {new} there"
