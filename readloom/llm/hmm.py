@@ -260,15 +260,29 @@ def one_pass(spark: SparkSession, train: DataFrame, model: Hmm) -> Hmm:
     return model.improved(flat[:k], flat[k : 2 * k], flat[2 * k : 2 * k + k * k].reshape(k, k), flat[2 * k + k * k :].reshape(shape))
 
 
+def bounded(rows: DataFrame) -> list[np.ndarray]:
+    """Texts of SAMPLE_TOKENS tokens in all. A text that does not fit is passed over; if none fits, the start of one."""
+    sample, spare, n = [], [], 0
+    for r in rows.select(F.substring("symbols", 1, 2 * SAMPLE_TOKENS + 2).alias("symbols")).toLocalIterator():
+        x = arrays([r[0]])[0]
+        if n + len(x) <= SAMPLE_TOKENS:
+            n += len(x)
+            sample.append(x)
+        elif not spare:
+            spare.append(x[:SAMPLE_TOKENS])
+    return sample or spare
+
+
 def trained(spark: SparkSession, train: DataFrame, symbols: int) -> Hmm:
-    model, sample, n = Hmm.random(symbols), [], 0
+    model, there = Hmm.random(symbols), train.count()
+    if not there:
+        return model
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    for r in train.where(share < SAMPLE_DOCS / max(1, train.count())).select("symbols").toLocalIterator():
-        if (n := n + len(r[0]) // 2) <= SAMPLE_TOKENS:
-            sample += arrays([r[0]])
-    for _ in range(SAMPLE_PASSES if sample else 0):
+    # few ids may all have a hash beyond the threshold
+    sample = bounded(train.where(share < SAMPLE_DOCS / there)) or bounded(train.limit(SAMPLE_DOCS))
+    for _ in range(SAMPLE_PASSES):
         model = model.improved(*model.counts(sample))
-    for _ in range(PASSES if sample else 0):
+    for _ in range(PASSES):
         model = one_pass(spark, train, model)
     return model
 

@@ -163,11 +163,16 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, mos
         part = known.where((F.col("toxic") == kind) & (share < most_docs / max(1, there.get(kind, 0)))).collect()
         chosen += sorted(part, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))[:most_docs]
     ids = labels.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id bigint, toxic int")
-    out, size = [], Counter()
-    for r in docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toLocalIterator():
-        size[r["toxic"]] += len(r["text"] or "")
-        if size[r["toxic"]] <= most_bytes:
+    out, size, spare = [], Counter(), {}
+    for r in docs.select("doc_id", F.substring("text", 1, most_bytes + 1).alias("text")).join(F.broadcast(ids), "doc_id").toLocalIterator():
+        n = len(r["text"] or "")
+        if size[r["toxic"]] + n <= most_bytes:
+            size[r["toxic"]] += n
             out.append((r["doc_id"], r["text"], r["toxic"]))
+        else:  # passed over; if no text of a kind fits, the start of one stands for it
+            spare.setdefault(r["toxic"], (r["doc_id"], r["text"][:most_bytes], r["toxic"]))
+    kinds = {r[2] for r in out}
+    out += [r for kind, r in spare.items() if kind not in kinds]
     return sorted(out, key=lambda r: (r[2], r[0], r[1] or ""))
 
 

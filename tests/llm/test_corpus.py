@@ -225,3 +225,31 @@ def test_pii_of_one_kind_alone(spark):
         new = got[i]["text"][4:-6]
         assert got[i]["n_entities"] == 1 and x not in got[i]["text"] and len(new) == len(x), x
         assert got[i]["text"] == f"see {new} there"
+
+
+def test_hmm_trains_past_a_huge_text(spark, monkeypatch):
+    """A text beyond the sample's bound comes first, or alone, or no id is in the sample: the model is trained anyhow."""
+    import numpy as np
+
+    monkeypatch.setattr(hmm, "SAMPLE_TOKENS", 1000)
+    huge, small = np.arange(3000, dtype=np.int16) % 7, np.arange(40, dtype=np.int16) % 5
+    start = hmm.Hmm.random(8).emit
+    for rows in ([(1, huge), (2, small)], [(1, huge)], [(3, small)] * 900, [(4, small)] * 900, [(5, small)] * 900):
+        train = spark.createDataFrame([(d, bytearray(x.tobytes())) for d, x in rows], "doc_id bigint, symbols binary").coalesce(1)
+        taken = hmm.bounded(train)
+        assert 0 < sum(map(len, taken)) <= 1000
+        if len(rows) == 2:
+            assert [len(x) for x in taken] == [40]
+        assert np.abs(hmm.trained(spark, train, 8).emit - start).max() > 0.01
+
+
+def test_toxicity_sample_past_a_huge_text(spark):
+    """A text beyond the bound shuts out no other row, and stands in part for its kind where it is the only one."""
+    keep = [d for d in range(60) if zlib.crc32(str(d).encode()) % 3 != 1][:6]
+    size = lambda d: 5000 if d in (keep[0], keep[1]) else 40
+    df = spark.createDataFrame([(d, "x" * size(d)) for d in keep], "doc_id bigint, text string").coalesce(1)
+    labels = spark.createDataFrame([(d, i % 2) for i, d in enumerate(keep)], "doc_id bigint, toxic int")
+    got = toxicity.sample(df, labels, most_bytes=1000)
+    assert sorted((d, len(t), y) for d, t, y in got) == sorted((d, 40, i % 2) for i, d in enumerate(keep) if i > 1)
+    got = toxicity.sample(df, labels.where(f"toxic = 1 or doc_id = {keep[0]}"), most_bytes=1000)
+    assert [(d, len(t)) for d, t, y in got if not y] == [(keep[0], 1000)]
