@@ -17,9 +17,9 @@ by all bands with probability (1 - 0.8 ** 4) ** 32 = 5e-8, and by the pruning wi
 
 Defined results: words are separated by ASCII blanks; a text with fewer than five words is one shingle; a null or empty
 text has none and is a class of its own; repeated rows are copies; class_id is the smallest doc_id of the class (null
-if it has none), n_links the number of other documents with the same set or with a set that a direct comparison linked
-to it; in a bucket of over SMALL members pairs that are in one class already are not compared, so there it may be less
-than all that are similar."""
+if it has none), n_links the number of other documents with the same set or a similar one. Similar documents are in one
+class, so n_links comes from comparing all sets of a class with each other, in pairs of blocks of about BLOCK sets; that
+work alone grows with the square of a class's distinct sets, and leaving copies out does without it."""
 
 from __future__ import annotations
 
@@ -41,6 +41,8 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, ROWS, STEP = 128, 4, 16
 SMALL = 16
 BITS = 1 << 22
+#: Sets of a class that are compared as one block, and shingles that are compared at a time.
+BLOCK, WIDE = 256, 4096
 _rng = np.random.default_rng(20)
 MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -347,15 +349,68 @@ def merged(scratch: Scratch, roots: DataFrame, edges: DataFrame) -> DataFrame:
     return scratch.keep(every.join(joins, "root", "left").select("c", F.coalesce("least", "root").alias("root")), "merged")
 
 
-def grouped(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sketched documents, and _row, class (the smallest row of the document's class) and n_links of each row."""
+def similar(scratch: Scratch, roots: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """c, others: for each set of a class of three or more, the rows of the other sets that are similar to it, counted
+    over all pairs of the class. reps: c, m; in a smaller class the link that made it is the only one."""
+    members = roots.unionByName(roots.select(F.col("root").alias("c"), "root")).distinct()
+    blocks = members.groupBy("root").agg(F.count(F.lit(1)).alias("k")).where("k > 2").select("root", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    members = members.join(blocks, "root").join(reps.select("c", "m"), "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+
+    def sets(batches):
+        for b in batches:
+            data = [shingle_set(t, WORDS).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(data, pa.binary())], ["c", "root", "m", "blocks", "block", "set"])
+
+    wide = members.join(texts, "c").select("c", "root", "m", "blocks", "block", "text")
+    wide = scratch.keep(wide.mapInArrow(sets, "c bigint, root bigint, m bigint, blocks int, block int, set binary"), "members")
+    other = wide.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = other.select("c", "root", "m", "block", "set", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+
+    def count(t: pa.Table) -> pa.Table:
+        block, m = t["block"].to_numpy(), t["m"].to_numpy()
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        data = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+        n = np.array([len(x) for x in data])
+        who = np.repeat(np.arange(len(data)), n)
+        _, at, times = np.unique(np.concatenate(data), return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1  # a shingle of one set is not shared
+        keep = times[at] > 1
+        at, who = column[at[keep]], who[keep]
+        order = np.argsort(at, kind="stable")
+        at, who = at[order], who[order]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        common = np.zeros((len(left), len(right)))
+        for start in range(0, int(at[-1]) + 1 if len(at) else 0, WIDE):
+            lo, hi = np.searchsorted(at, [start, start + WIDE])
+            part = np.zeros((len(data), WIDE), np.float32)
+            part[who[lo:hi], at[lo:hi] - start] = 1
+            common += part[left] @ part[right].T
+        alike = 9 * common >= 4 * (n[left][:, None] + n[right][None, :])
+        others = np.zeros(len(data), np.int64)
+        if i == j:
+            np.fill_diagonal(alike, False)
+            others[left] = alike @ m[right]
+        else:
+            others[left], others[right] = alike @ m[right], alike.T @ m[left]
+        return pa.table({"c": t["c"], "others": pa.array(others)})
+
+    counts = other.groupBy("root", "i", "j").applyInArrow(count, "c bigint, others bigint")
+    return scratch.keep(counts.groupBy("c").agg(F.sum("others").alias("similar")), "similar")
+
+
+def grouped(spark: SparkSession, docs: DataFrame, counted: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The sketched documents, and _row, class (the smallest row of the document's class) and n_links of each row; if
+    not counted, n_links has only the links that made the classes."""
     scratch = Scratch(spark, "near")
     base = scratch.keep(sketched(docs), "documents")
     sets = base.where(F.col("_key").isNotNull())
     reps = scratch.keep(sets.groupBy("_key").agg(F.min("_row").alias("c"), F.first("_n").alias("n"), F.first("_sig").alias("sig"), F.count(F.lit(1)).alias("m")), "sets")
-    found, roots = links(scratch, reps.select("c", "n", "sig"), base.select(F.col("_row").alias("c"), "text"))
+    texts = base.select(F.col("_row").alias("c"), "text")
+    found, roots = links(scratch, reps.select("c", "n", "sig"), texts)
     ends = found.select(F.col("a").alias("c"), F.col("b").alias("d")).unionByName(found.select(F.col("b").alias("c"), F.col("a").alias("d")))
     degree = ends.join(reps.select(F.col("c").alias("d"), "m"), "d").groupBy("c").agg(F.sum("m").alias("others"))
+    if counted:
+        degree = degree.join(similar(scratch, roots, reps, texts), "c", "left").select("c", F.coalesce("similar", "others").alias("others"))
     classes = reps.select("_key", "c", "m").join(roots, "c", "left").join(degree, "c", "left")
     classes = classes.select("_key", F.coalesce("root", "c").alias("class"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     rows = base.select("_row", "_key").join(classes, "_key", "left")
@@ -372,6 +427,6 @@ def joined(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def without_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; columns unchanged."""
-    base, rows = grouped(spark, docs)
+    base, rows = grouped(spark, docs, counted=False)
     first = rows.join(base.select("_row", F.col("doc_id").alias("_id")), "_row").groupBy("class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
     return base.join(first, "_row", "left_semi").select(*docs.columns)

@@ -253,3 +253,28 @@ def test_toxicity_sample_past_a_huge_text(spark):
     assert sorted((d, len(t), y) for d, t, y in got) == sorted((d, 40, i % 2) for i, d in enumerate(keep) if i > 1)
     got = toxicity.sample(df, labels.where(f"toxic = 1 or doc_id = {keep[0]}"), most_bytes=1000)
     assert [(d, len(t)) for d, t, y in got if not y] == [(keep[0], 1000)]
+
+
+def test_near_counts_all_links(spark, monkeypatch):
+    """n_links of a large group of near copies, some of them repeated, equals brute force, in one block or in many."""
+    import random
+
+    from readloom.llm.shingles import shingle_set
+
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = [" ".join(base)]
+    for i in range(199):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5])):
+            w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+        rows.append(" ".join(w))
+    sets = [set(shingle_set(t).tolist()) for t in rows]
+    like = lambda x, y: 9 * len(x & y) >= 4 * (len(x) + len(y))
+    of = near.joined(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    want = {a: sum(a != b and like(x, y) for b, y in enumerate(sets)) for a, x in enumerate(sets)}
+    assert max(want.values()) > 100
+    assert {g["doc_id"]: g["n_links"] for g in of} == want
+    monkeypatch.setattr(near, "BLOCK", 16)
+    few = near.joined(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    assert {g["doc_id"]: g["n_links"] for g in few} == want
