@@ -76,7 +76,8 @@ def null_z_and_p(spark, sf_dir):
     s AS (SELECT doc_id, substr(other, i, 1) AS r, substr(seq, i, 1) AS q FROM p, range(1, 31) t(i) WHERE other IS NOT NULL AND i <= least(length(seq), length(other)))
     SELECT doc_id, count(*) FILTER (r = 'A') AS n_a, count(*) FILTER (r = 'A' AND q = 'G') AS n_edit, count(*) FILTER (r <> q) AS n_mismatch FROM s GROUP BY doc_id""")
 def mismatch_counts(spark, sf_dir):
-    """Edits and mismatches of each sequence against the one before it, place by place in array functions."""
+    """Edits and mismatches of the first 30 bases of each sequence against the one before it, place by place in array
+    functions; mismatch_counts_whole counts whole ones."""
     d = fx.bases(spark, sf_dir).groupBy("doc_id").agg(F.max(F.substring("seq", 1, 30)).alias("seq"))
     d = d.withColumn("other", F.lag("seq").over(Window.orderBy("doc_id"))).where("length(seq) > 0 AND length(other) > 0")
     n = F.least(F.length("seq"), F.length("other"))
@@ -86,6 +87,17 @@ def mismatch_counts(spark, sf_dir):
     return d.select("doc_id", count(lambda x: x["r"] == "A").alias("n_a"), count(lambda x: (x["r"] == "A") & (x["q"] == "G")).alias("n_edit"), count(lambda x: x["r"] != x["q"]).alias("n_mismatch"))
 
 
+@query()
+def mismatch_counts_whole(spark, sf_dir):
+    """Edits and mismatches of each whole sequence against the one before it; repeated ids are rows of their own."""
+    d = fx.bases(spark, sf_dir).withColumn("other", F.lag("seq").over(Window.orderBy("doc_id", "seq"))).where("length(seq) > 0 AND length(other) > 0")
+    n = F.least(F.length("seq"), F.length("other"))
+    cut = lambda c: F.slice(F.split(c, ""), F.lit(1), n)
+    d = d.select("doc_id", F.arrays_zip(cut("other").alias("r"), cut("seq").alias("q")).alias("z"))
+    count = lambda f: F.size(F.filter("z", f)).cast("bigint")
+    return d.select("doc_id", count(lambda x: x["r"] == "A").alias("n_a"), count(lambda x: (x["r"] == "A") & (x["q"] == "G")).alias("n_edit"), count(lambda x: x["r"] != x["q"]).alias("n_mismatch"))
+
+
 @query(fx.with_("line", "lib") + """, c AS (SELECT library, pos % 5 AS pos, sum(bit) AS e, count(*) - sum(bit) AS u FROM lib GROUP BY ALL), f AS (SELECT * FROM c WHERE library = 'F'), o AS (SELECT * FROM c WHERE library = 'O')
     SELECT f.pos, round(log2(((f.e + 0.5) / (f.u + 0.5)) / ((o.e + 0.5) / (o.u + 0.5))), 6) AS log2_odds FROM f JOIN o USING (pos)""")
 def log2_odds_ratio(spark, sf_dir):

@@ -27,3 +27,11 @@ def test_principal_components(spark):
     want = np.linalg.svd(x - x.mean(axis=0), compute_uv=False)[:3] ** 2
     got = compare.principal_components(spark, DATA).toPandas()[["pc1", "pc2", "pc3"]].to_numpy()
     assert np.allclose((got**2).sum(axis=0), want, rtol=1e-3)
+
+
+def test_whole_sequences_and_rows(spark, monkeypatch):
+    """Places past the first 30 count, and a repeated id is a row of its own."""
+    rows = [(1, "A" * 50), (2, "A" * 40 + "G" * 10), (2, "C" * 35), (3, "")]
+    monkeypatch.setattr(compare.fx, "bases", lambda *a: spark.createDataFrame(rows, "doc_id bigint, seq string"))
+    got = [tuple(r) for r in compare.QUERIES["mismatch_counts_whole"](spark, "").collect()]
+    assert sorted(got) == [(2, 35, 0, 35), (2, 50, 10, 10)]
