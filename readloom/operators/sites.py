@@ -64,6 +64,14 @@ def pair_tally(sites: DataFrame, read: str, pos: str, bit: str, reach: int) -> D
     return both.groupBy("i", "j").agg(n(0, 0).alias("n00"), n(0, 1).alias("n01"), n(1, 0).alias("n10"), n(1, 1).alias("n11"))
 
 
+def pair_tally_whole(sites: DataFrame, read: str, pos: str, bit: str) -> DataFrame:
+    """pair_tally of every pair of positions of a read; a read of n sites makes n * (n - 1) / 2 pairs."""
+    a = sites.select(read, F.col(pos).alias("i"), F.col(bit).alias("x"))
+    b = sites.select(read, F.col(pos).alias("j"), F.col(bit).alias("y"))
+    n = lambda x, y: F.count(F.when((F.col("x") == x) & (F.col("y") == y), 1))
+    return a.join(b, read).where("j > i").groupBy("i", "j").agg(n(0, 0).alias("n00"), n(0, 1).alias("n01"), n(1, 0).alias("n10"), n(1, 1).alias("n11"))
+
+
 def odds_ratio() -> Column:
     """Of a tally, with Haldane's correction."""
     c = {k: F.col(k) + F.lit(0.5) for k in ("n00", "n01", "n10", "n11")}

@@ -98,6 +98,22 @@ def mismatch_counts_whole(spark, sf_dir):
     return d.select("doc_id", count(lambda x: x["r"] == "A").alias("n_a"), count(lambda x: (x["r"] == "A") & (x["q"] == "G")).alias("n_edit"), count(lambda x: x["r"] != x["q"]).alias("n_mismatch"))
 
 
+@query()
+def co_occurrence_whole(spark, sf_dir):
+    """The tally of every pair of sites of a read; co_occurrence's is of those up to 8 apart."""
+    return sites.pair_tally_whole(fx.sites(spark, sf_dir), "read", "pos", "bit")
+
+
+@query()
+def odds_ratio_whole(spark, sf_dir):
+    return co_occurrence_whole(spark, sf_dir).select("i", "j", F.round(sites.odds_ratio(), 6).alias("odds"))
+
+
+@query()
+def mutual_information_whole(spark, sf_dir):
+    return co_occurrence_whole(spark, sf_dir).select("i", "j", F.abs(F.round(sites.mutual_information(), 6)).alias("mi"))
+
+
 @query(fx.with_("line", "lib") + """, c AS (SELECT library, pos % 5 AS pos, sum(bit) AS e, count(*) - sum(bit) AS u FROM lib GROUP BY ALL), f AS (SELECT * FROM c WHERE library = 'F'), o AS (SELECT * FROM c WHERE library = 'O')
     SELECT f.pos, round(log2(((f.e + 0.5) / (f.u + 0.5)) / ((o.e + 0.5) / (o.u + 0.5))), 6) AS log2_odds FROM f JOIN o USING (pos)""")
 def log2_odds_ratio(spark, sf_dir):

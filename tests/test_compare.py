@@ -35,3 +35,18 @@ def test_whole_sequences_and_rows(spark, monkeypatch):
     monkeypatch.setattr(compare.fx, "bases", lambda *a: spark.createDataFrame(rows, "doc_id bigint, seq string"))
     got = [tuple(r) for r in compare.QUERIES["mismatch_counts_whole"](spark, "").collect()]
     assert sorted(got) == [(2, 35, 0, 35), (2, 50, 10, 10)]
+
+
+def test_pairs_of_whole_reads(spark, monkeypatch):
+    import itertools
+    from collections import Counter
+
+    rows = [(r, 7 * k, (k * r + k // 3) % 2) for r in range(4) for k in range(20)]
+    monkeypatch.setattr(compare.fx, "sites", lambda *a: spark.createDataFrame(rows, "read bigint, pos bigint, bit int"))
+    want: Counter = Counter()
+    for r in range(4):
+        for (_, i, x), (_, j, y) in itertools.combinations([s for s in rows if s[0] == r], 2):
+            want[i, j, x, y] += 1
+    got = compare.QUERIES["co_occurrence_whole"](spark, "").collect()
+    assert {(g["i"], g["j"], x, y): g[f"n{x}{y}"] for g in got for x in (0, 1) for y in (0, 1) if g[f"n{x}{y}"]} == dict(want)
+    assert all(len(compare.QUERIES[q](spark, "").collect()) == 190 for q in ("odds_ratio_whole", "mutual_information_whole"))
