@@ -9,8 +9,8 @@ The forms of a batch of seeds are sharded; the Burrows-Wheeler transforms of the
 interleave: each step sorts stably by the symbol before, which orders all suffixes by one more byte without sorting
 them again, and a boundary appears where two neighbours first differ. The groups left after LENGTH steps are the
 repeated intervals, those suffixes whose common prefix is LENGTH or more; a window is repeated if its group's weight
-is two or more. A seed with over LARGE forms is first dealt out by the hashes of its windows; those that occur once are
-out, and the others are batched in the same way, one form a window.
+is two or more. No transform is merged for a seed with one form, which its weight settles, nor for one with over LARGE
+forms: there all windows are listed, and those whose SHA-256 values occur more than once are repeated.
 
 Defined results: null and empty texts have no bytes; texts under LENGTH bytes lose nothing; repeated rows are other
 documents, so that whole copies of LENGTH bytes or more lose everything; no rows, no rows."""
