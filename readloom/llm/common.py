@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -18,6 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
 #: Words of the contracts: runs of anything but the ASCII blanks. bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch that become Python objects at a time.
+BATCH_BYTES = 8 << 20
 #: bytes.translate table that lower-cases A-Z and leaves the rest.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -34,15 +38,21 @@ def utf8(text: str | None) -> bytes:
 class Scratch:
     """Tables written once and reread, so that lineage is cut and a lost executor costs a reread only.
 
-    They lie under spark.checkpoint.dir, which driver and executors share; where that is unset, as in tests, under
-    a folder of this process's own."""
+    They lie under spark.checkpoint.dir, which driver and executors share. Where that is unset, a local master, as in
+    tests, has them in a folder that goes with the process; a cluster must name one."""
+
+    own: str | None = None
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = tempfile.mkdtemp(prefix="readloom-")
-            spark.conf.set("spark.checkpoint.dir", base)
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            if Scratch.own is None:
+                Scratch.own = tempfile.mkdtemp(prefix="readloom-")
+                atexit.register(shutil.rmtree, Scratch.own, ignore_errors=True)
+            base = Scratch.own
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -60,6 +70,16 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into slices of at most `most` bytes or one row, so that few texts are Python objects at once."""
+    for b in batches:
+        if b.nbytes > most and b.num_rows > 1:
+            half = b.num_rows // 2
+            yield from pieces((b.slice(0, half), b.slice(half)), most)
+        else:
+            yield b
+
+
 def map_rows(df: DataFrame, schema: T.StructType | str, rows: Callable[[Iterator[dict]], Iterator[tuple]], batch: int = 2000) -> DataFrame:
     """mapInArrow with columns as Python lists in and tuples out. rows gets each batch as a dict of lists and
     yields tuples; it sees the batches of a partition in order, so it may stream over sorted rows."""
@@ -69,7 +89,7 @@ def map_rows(df: DataFrame, schema: T.StructType | str, rows: Callable[[Iterator
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out, arrow = [], to_arrow_schema(schema)
-        for row in rows(b.to_pydict() for b in batches):
+        for row in rows(b.to_pydict() for b in pieces(batches)):
             out.append(row)
             if len(out) >= batch:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
@@ -84,7 +104,7 @@ def keep_rows(df: DataFrame, columns: list[str], mask: Callable[[dict], list[boo
     """Rows for which mask, called with lists of the named columns, says true; all columns stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             yield b.filter(pa.array(mask(b.select(columns).to_pydict()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -216,6 +216,42 @@ def test_toxicity(spark, docs, none):
     assert {r["score"] for r in toxicity.scored(spark, docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_of_a_skewed_lexicon(spark):
+    """One insult is in every toxic text, nine others in few of them, some in one language only, and half of all rows
+    are copies: held-out texts with any of the ten are caught, ordinary ones stay."""
+    import random
+
+    r = random.Random(3)
+    insults = [f"insult{c}{c}" for c in "abcdefghij"]
+    rows = []
+    for i in range(900):
+        w = prose(80, 7000 + i).split()
+        if i % 3 == 0:
+            for _ in range(3):
+                w.insert(r.randrange(len(w)), insults[0] if r.random() < 0.4 else insults[r.randrange(1, 10)])
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, rows[3][1]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(str(i), int(i % 3 == 0)) for i in range(900)] + [(str(1000 + i), 1) for i in range(400)], "doc_id string, toxic int")
+    got = [g for g in toxicity.scored(spark, df, labels).collect() if g["held_out"] and int(g["doc_id"]) < 900]
+    bad = [g["predicted"] for g in got if int(g["doc_id"]) % 3 == 0]
+    good = [g["predicted"] for g in got if int(g["doc_id"]) % 3]
+    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.1 * len(good)
+    # toxic rows only: nothing can be told apart, so nothing is rejected
+    only = labels.where("toxic = 1")
+    assert toxicity.without_toxic(spark, df, only).count() == df.count()
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Labelled rows that no model saw: most toxic ones are caught, nearly all ordinary ones stay."""
+    from readloom.llm.common import table
+
+    docs, labels = (table(spark, "/root/testdata/sf0.1", n) for n in ("documents", "labels"))
+    got = toxicity.scored(spark, docs, labels).where("held_out").join(labels.where("toxic is not null"), "doc_id")
+    share = {r["toxic"]: r["s"] for r in got.groupBy("toxic").agg({"predicted": "avg"}).toDF("toxic", "s").collect()}
+    assert share[1] >= 0.8 and share[0] <= 0.06
+
+
 def test_pii_of_one_kind_alone(spark):
     """Each text's only mention has no three digits in a row, or is a code of over 128 or over 256 digits."""
     said = ["ab12" * 8, "AB12" * 10, "DE12AB1CDE2FGH3J", "41 11 11 11 11 11 11 11", "41-11-11-11-11-11-1", "ab12" * 40, "cd34" * 100]
