@@ -110,6 +110,20 @@ def keep_rows(df: DataFrame, columns: list[str], mask: Callable[[dict], list[boo
     return df.mapInArrow(run, df.schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as it takes to differ from every column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """docs with every column but doc_id and text renamed by its place, so that no name of an operator's own clashes;
+    toDF(*docs.columns) names them again."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)])
+
+
 def crc_mod(doc_id, n: int):
     """crc32(doc_id as text) mod n, a column; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -14,10 +14,11 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_rows, utf8
+from .common import free_name, map_rows, pieces, utf8
 
 WINDOW = 13
 #: Bytes of benchmark text whose tables a worker holds at once; a larger benchmark goes over the documents in several passes.
@@ -138,19 +139,33 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """docs without contaminated rows; columns unchanged. One narrow pass per benchmark part: a row goes as soon as
-    the spans of the parts searched so far reach a twentieth of its words, and hits below that in one part are
-    settled together with the next, so a benchmark of several parts is searched part by part in one task."""
+    """docs without leaks; columns unchanged. A row goes if a whole window of WINDOW words occurs in it, however long it
+    is, or if hits of shorter items, which clean texts may hold by chance, reach a twentieth of its words. Narrow passes,
+    one per benchmark part, each with the tables of its part alone; hits of shorter items add up over them."""
     parts = passes(spark, benchmark, pass_bytes)
+    if not parts:
+        return docs
+    spans = free_name(docs, "_spans")
+    out = docs.withColumn(spans, F.lit(None).cast("array<array<int>>"))
+    whole, wide = docs.schema, out.schema
 
-    def mask(cols: dict) -> list[bool]:
-        ws = [words(t) for t in cols["text"]]
-        spans: list[list] = [[] for _ in ws]
-        for part in parts:
+    def scan(part, last: bool):
+        def run(batches):
             tables = searchers(part.value)
-            for s, w in zip(spans, ws, strict=True):
-                s += search(tables, w)[0]
-        hits = [sum(e - s for s, e in merge(x)) for x in spans]
-        return [not (h and 20 * h >= len(w)) for h, w in zip(hits, ws, strict=True)]
-
-    return keep_rows(docs, ["text"], mask)
+            for b in pieces(batches):
+                keep, found = [], []
+                for text, before in zip(b.column("text").to_pylist(), b.column(spans).to_pylist(), strict=True):
+                    w = words(text)
+                    new = search(tables, w)[0]
+                    found.append(merge([*(before or []), *new]))
+                    n = sum(e - s for s, e in found[-1])
+                    keep.append(not (any(e - s >= WINDOW for s, e in new) or (n and 20 * n >= len(w))))
+                b = b.drop_columns([spans]) if last else b.set_column(b.num_columns - 1, spans, pa.array(found, pa.list_(pa.list_(pa.int32()))))
+                yield b.filter(pa.array(keep, pa.bool_()))
+
+        return run
+
+    for i, part in enumerate(parts):
+        last = i == len(parts) - 1
+        out = out.mapInArrow(scan(part, last), whole if last else wide)
+    return out

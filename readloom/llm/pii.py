@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, masked
 
 KEY = "readloom-surrogates-1"
 #: Titles, by gender. Fixed values.
@@ -180,4 +180,5 @@ def surrogates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def without_pii(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with surrogates; columns unchanged."""
-    return replaced(spark, docs).select(*docs.columns)
+    plain = masked(docs)
+    return replaced(spark, plain).select(*plain.columns).toDF(*docs.columns)

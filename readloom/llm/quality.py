@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch, masked
+
 #: Blanks of the contract's words, and its symbols. Fixed values.
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -109,9 +111,10 @@ def learned(patterns: list[tuple[list[int], int]], steps: int = STEPS) -> dict[t
     return {tuple(v): posterior(tuple(v)) for v, _ in patterns}
 
 
-def judged(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with `q`, and `p_good`, the posterior of each text's votes."""
+def judged(spark: SparkSession, docs: DataFrame, whole: bool = True) -> DataFrame:
+    """docs with `q`, and `p_good`, the posterior of each text's votes. Texts are measured once, into a scratch table."""
     rows = measured(docs).withColumn("_votes_of_quality", votes())
+    rows = Scratch(spark, "quality").keep(rows if whole else rows.drop("text"), "measured")
     counts = [(tuple(r[0]), r[1]) for r in rows.groupBy("_votes_of_quality").count().collect()]
     known = spark.createDataFrame([(list(v), p) for v, p in sorted(learned(counts).items())], "_v_of_quality array<int>, p_good double")
     return rows.join(F.broadcast(known), F.col("_votes_of_quality") == F.col("_v_of_quality")).drop("_votes_of_quality", "_v_of_quality")
@@ -123,11 +126,12 @@ def kept() -> Column:
 
 def verdicts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The contract's columns."""
-    out = judged(spark, docs.select("doc_id", "text"))
+    out = judged(spark, docs.select("doc_id", "text"), whole=False)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return out.select("doc_id", *[F.col(f"q.{n}").alias(n) for n in names], base_failed().alias("base_failed"), kept().alias("kept"), F.col("p_good"))
 
 
 def kept_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the rows that are not kept; columns unchanged."""
-    return judged(spark, docs).where(kept()).select(*docs.columns)
+    plain = masked(docs)
+    return judged(spark, plain).where(kept()).select(*plain.columns).toDF(*docs.columns)

@@ -314,3 +314,34 @@ def test_near_counts_all_links(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", 16)
     few = near.joined(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
     assert {g["doc_id"]: g["n_links"] for g in few} == want
+
+
+def test_clashing_names(spark):
+    """Columns named as an operator's own are kept as they are, and string ids too."""
+    names = ["q", "p_good", "_key", "_row", "_n", "_sig", "_m_of_pii", "n_mentions_of_pii", "_spans", "_c0", "Text"]
+    rows = [(str(i), t, *[f"{n}{i}" for n in names]) for i, t in enumerate([BASE, BASE, prose(90, 5) + " call +1 212 555 0199", None, "x " * 300])]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in ["doc_id", "text", *names]))
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        bench = spark.createDataFrame([("a", prose(90, 5)), ("b", "x x")], "item_id string, text string")
+        labels = spark.createDataFrame([("0", 0), ("2", 1)], "doc_id string, toxic int")
+        for out, n in (
+            (quality.kept_rows(spark, df), None), (near.without_copies(spark, df), 4), (pii.without_pii(spark, df), 5),
+            (decontaminate.clean(spark, df, bench), 3), (toxicity.without_toxic(spark, df, labels), None),
+        ):
+            assert out.columns == df.columns
+            got = out.collect()
+            assert n is None or len(got) == n
+            assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names)
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_clean_drops_diluted_leaks(spark):
+    """A whole window goes however long the text is; a short item's hits only if they are a twentieth of the words."""
+    item, short = words(30, 11), "two words"
+    texts = [words(2000, 12) + " " + " ".join(item.split()[4:17]) + " " + words(2000, 13), words(400, 14) + " two words", "two words " + words(20, 15), words(50, 16) + " " + " ".join(item.split()[4:16])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id bigint, text string")
+    for most in (16 << 20, 8):
+        assert sorted(r[0] for r in decontaminate.clean(spark, df, bench, most).collect()) == [1, 3]
