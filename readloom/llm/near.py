@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, map_rows
+from .common import Scratch, map_rows, masked, pieces
 from .shingles import shingle_set
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -42,7 +42,7 @@ HASHES, ROWS, STEP = 128, 4, 16
 SMALL = 16
 BITS = 1 << 22
 #: Sets of a class that are compared as one block, and shingles that are compared at a time.
-BLOCK, WIDE = 256, 4096
+BLOCK, WIDE = 512, 4096
 _rng = np.random.default_rng(20)
 MULTIPLY = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -78,7 +78,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     at = base.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             keys, ns, sigs = [], [], []
             for text in b.column(at).to_pylist():
                 x = shingle_set(text, WORDS)
@@ -148,10 +148,11 @@ def large_members(cand: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def pivots(members: DataFrame, round_: int) -> DataFrame:
-    """k, p, pn, ptop, pown: of each bucket the most central members, those with the smallest part of unshared
-    shingles, one in the first round and then eight times as many each time."""
+    """k, p, pn, ptop, pown: of each bucket the most central members, those in the most large buckets and then with the
+    smallest part of unshared shingles, so that buckets of one group share their pivots; one in the first round and
+    then eight times as many each time."""
     share = F.pmod(F.xxhash64("c", F.lit(round_)), F.lit(8**round_))
-    best = members.withColumn("s", share).groupBy("k", "s").agg(F.max(F.struct((F.col("top") / F.col("n")).alias("r"), "w", F.xxhash64("c"), "c", "n", "top", "own")).alias("p"))
+    best = members.withColumn("s", share).groupBy("k", "s").agg(F.max(F.struct("w", (F.col("top") / F.col("n")).alias("r"), F.xxhash64("c"), "c", "n", "top", "own")).alias("p"))
     return best.select("k", F.col("p.c").alias("p"), F.col("p.n").alias("pn"), F.col("p.top").alias("ptop"), F.col("p.own").alias("pown"))
 
 
@@ -260,7 +261,7 @@ def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: Dat
         return None
     of_y = scratch.keep(differences(ys, pool), "differences_y")
     xs = ends.join(ys.select("p").distinct(), "p", "left_semi").distinct()
-    of_x = differences(xs, pool, bitmap(of_y)).select("p", "h", F.col("c").alias("x"), F.col("n").alias("xn"))
+    of_x = differences(xs, pool, bitmap(of_y)).select("p", "h", F.col("c").alias("x"), F.col("n").alias("xn"), F.col("d").alias("xd"))
     of_x = scratch.keep(of_x, "differences_x")
     common = of_x.groupBy("p", "h").agg(F.count(F.lit(1)).alias("m"))
     of_y = of_y.join(common, ["p", "h"])
@@ -268,6 +269,9 @@ def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: Dat
     of_y = of_y.withColumn("at", F.row_number().over(one.orderBy("m", "h"))).withColumn("had", F.count(F.lit(1)).over(one))
     of_y = of_y.where(F.col("at") <= F.floor(F.col("n") / 4) + 1 - (F.col("d") - F.col("had")))
     pairs = of_y.join(of_x, ["p", "h"]).where(fits(F.col("n"), F.col("xn")) & (F.col("c") != F.col("x")))
+    # |x ^ y| = xd + d - 2 * common <= (xn + n) / 9, so x lacks at most half of d - xd + (xn + n) / 9 of y's, and has no fewer than none
+    lacks = F.floor((9 * (F.col("d") - F.col("xd")) + F.col("n") + F.col("xn")) / 18)
+    pairs = pairs.where((9 * (F.col("d") - F.col("xd")) <= F.col("n") + F.col("xn")) & (F.col("at") <= lacks + 1 - (F.col("d") - F.col("had"))))
     pairs = scratch.keep(pairs.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct(), "bridges")
     return scratch.keep(verified(plausible(pairs, pool), pool), "bridged")
 
@@ -427,6 +431,7 @@ def joined(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def without_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; columns unchanged."""
-    base, rows = grouped(spark, docs, counted=False)
+    plain = masked(docs)
+    base, rows = grouped(spark, plain, counted=False)
     first = rows.join(base.select("_row", F.col("doc_id").alias("_id")), "_row").groupBy("class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
-    return base.join(first, "_row", "left_semi").select(*docs.columns)
+    return base.join(first, "_row", "left_semi").select(*plain.columns).toDF(*docs.columns)
