@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.operators import intervals, ranks, windows
-from readloom.plans import queries
+from readloom.operators import profiles, reads
+from readloom.plans import profiles as queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -47,6 +48,40 @@ def test_runs_on_hand_fixture(spark):
     assert [r["gap"] for r in windows.run_gaps(found, "read").collect()] == [16]
 
 
+def test_alignments_on_hand_fixture(spark):
+    """Two mirrored reads: the same edit string and the same sites in sense orientation."""
+    rows = [("r1", False, 10, "CATA AG", "CGTACAG"), ("r2", True, 20, "CT TATG", "CTGTACG")]
+    df = spark.createDataFrame(rows, "read_id string, is_reverse boolean, read_start int, ref_aligned string, read_aligned string")
+    got = {r["read_id"]: r for r in reads.encoded(df).collect()}
+    assert all(r["edit_string"] == "0100200" and r["n_a_positions"] == 3 and abs(r["global_edit_freq"] - 1 / 3) < 1e-12 for r in got.values())
+    sites = sorted((r["read_id"], r["pos"], r["bit"]) for r in reads.a_sites(reads.encoded(df), ["read_id"]).collect())
+    assert sites == [("r1", 11, 1), ("r1", 13, 0), ("r1", 14, 0), ("r2", 21, 0), ("r2", 22, 0), ("r2", 24, 1)]
+
+
+def test_fisher_and_packing_against_brute_force(spark):
+    import itertools
+    from math import comb
+
+    tables = [t for t in itertools.product((0, 1, 3, 6), repeat=4) if sum(t)]
+    df = spark.createDataFrame(tables, "a int, b int, c int, d int")
+    for r in df.select("*", profiles.fisher_exact(*map(F.col, "abcd")).alias("p")).collect():
+        a, b, c, d = r[:4]
+        of = {x: comb(a + b, x) * comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)}
+        assert math.isclose(r["p"], sum(v for v in of.values() if v <= of[a]) / comb(a + b + c + d, a + c), rel_tol=1e-9)
+    spans = [(i, (i * 37) % 50, (i * 37) % 50 + 5 + i % 7) for i in range(60)]
+    got = profiles.packed(spark.createDataFrame([("g", *x) for x in spans], "grp string, key bigint, start bigint, end bigint"), "grp").collect()
+    rows = {}
+    for r in got:
+        rows.setdefault(r["row"], []).append((r["start"], r["end"]))
+    assert len(got) == 60 and all(a[1] <= b[0] for x in rows.values() for a, b in itertools.pairwise(sorted(x)))
+    assert len(rows) == max(sum(s <= t < e for _, s, e in spans) for t in range(70))
+
+
+def test_shuffles_keep_their_letters(spark):
+    got = profiles.shuffled(spark.createDataFrame([("ACGTTTGACA",)], "s string"), "s", 20, 1).collect()
+    assert all(sorted(r["shuffled"]) == sorted(r["s"]) for r in got) and len({r["shuffled"] for r in got}) > 15
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "k string, start bigint, end bigint")
     assert intervals.merged(none, ["k"]).count() == 0
