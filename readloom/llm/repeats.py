@@ -8,9 +8,10 @@ are one form with a weight.
 The forms of a batch of seeds are sharded; the Burrows-Wheeler transforms of the shards are merged by refining their
 interleave: each step sorts stably by the symbol before, which orders all suffixes by one more byte without sorting
 them again, and a boundary appears where two neighbours first differ. The groups left after LENGTH steps are the
-repeated intervals, those suffixes whose common prefix is LENGTH or more; a window is repeated if its group's weight
-is two or more. No transform is merged for a seed with one form, which its weight settles, nor for one with over LARGE
-forms: there all windows are listed, and those whose SHA-256 values occur more than once are repeated.
+repeated intervals, those suffixes whose common prefix is LENGTH or more. Suffixes that differ from all others leave the
+interleave as soon as they do. No transform is merged for a seed with one form, which its weight settles, nor for one
+with over LARGE forms, which would not fit a task: there all windows are listed, and those whose SHA-256 values occur
+more than once are repeated, with the same result.
 
 Defined results: null and empty texts have no bytes; texts under LENGTH bytes lose nothing; repeated rows are other
 documents, so that whole copies of LENGTH bytes or more lose everything; no rows, no rows."""
@@ -30,7 +31,7 @@ from .shingles import prefixes, spans
 LENGTH, SEED = 200, 64
 SIDE = (LENGTH - SEED) // 2
 #: Text bytes in a batch, and in one of its shards; forms of a seed beyond which its windows are dealt out.
-BATCH, SHARD, LARGE = 1 << 17, 1 << 15, 2000
+BATCH, SHARD, LARGE = 1 << 17, 1 << 15, 10_000
 #: Windows of a text that are hashed at a time.
 SLICE = 1 << 22
 
@@ -109,25 +110,30 @@ def bwt_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before[order].astype(np.int16), text[order], offset[order]
 
 
-def merged_groups(bwts: list[np.ndarray], n_texts: int, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Merges shards' transforms. Per merged suffix: its place in the shards laid end to end, and a group number that
-    suffixes share whose first `depth` symbols are equal; an end equals nothing."""
+def merged_groups(bwts: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Merges shards' transforms as far as common prefixes of `depth` symbols are concerned: the places, in the shards laid
+    end to end, of the suffixes whose first `depth` symbols another suffix has too, in merged order, and a group number
+    that equal ones share. An end equals nothing.
+
+    A step sorts the interleave stably by the symbol before, which orders the suffixes that begin there by one more
+    symbol. A suffix that differs from all others differs after any step too, so only the groups of several go on."""
     symbols = np.concatenate(bwts)
-    shard = np.repeat(np.arange(len(bwts), dtype=np.int16), [len(b) for b in bwts])
-    # the interleave says whose next suffix comes; places follow from it, shard by shard
-    place, every = np.arange(len(symbols)), np.arange(len(symbols))
-    group, known = np.zeros(len(symbols), np.int64), 0
+    # where the suffix that begins one symbol earlier is in its own shard's order
+    before, at = np.empty(len(symbols), np.int32), 0
+    for b in bwts:
+        before[at + np.argsort(b, kind="stable")] = np.arange(at, at + len(b), dtype=np.int32)
+        at += len(b)
+    place, group = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
     for _ in range(depth):
         now = symbols[place]
-        order = np.argsort(now, kind="stable")
-        now, was, shard = now[order], group[order], shard[order]
+        inside = np.flatnonzero(now)
+        order = inside[np.argsort(now[inside], kind="stable")]
+        now, was, place = now[order], group[order], before[place[order]]
         new = np.ones(len(order), bool)
         new[1:] = (now[1:] != now[:-1]) | (was[1:] != was[:-1])
-        new[: n_texts + 1] = True
-        place = np.empty_like(every)
-        place[np.argsort(shard, kind="stable")] = every
-        group = np.cumsum(new)
-        if group[-1] == len(group):
+        several = ~(new & np.append(new[1:], True))
+        place, group = place[several], np.cumsum(new[several], dtype=np.int32)
+        if not len(place):
             break
     return place, group
 
@@ -142,18 +148,14 @@ def repeated(forms: list[tuple[bytes, int, int]]) -> list[np.ndarray]:
         shards[-1].append(i)
         size += len(data)
     made = [bwt_of([forms[i][0] for i in s]) for s in shards]
-    form = np.concatenate([np.array(s)[text] for s, (_, text, _) in zip(shards, made, strict=True)])
-    offset = np.concatenate([o for _, _, o in made])
-    place, group = merged_groups([b for b, _, _ in made], len(forms))
-    form, offset = form[place], offset[place]
-    starts, weight = np.array([n for _, n, _ in forms]), np.array([w for _, _, w in forms])
-    starting = offset < starts[form]
-    total = np.bincount(group, np.where(starting, weight[form], 0))
-    hit = starting & (total[group] >= 2)
-    out = [np.zeros(n, bool) for n in starts]
-    for f, o in zip(form[hit].tolist(), offset[hit].tolist(), strict=True):
-        out[f][o] = True
-    return out
+    form = np.concatenate([np.array(s, np.int32)[text] for s, (_, text, _) in zip(shards, made, strict=True)])
+    offset = np.concatenate([o.astype(np.int32) for _, _, o in made])
+    place, _ = merged_groups([b for b, _, _ in made])
+    # every window of a form that occurs again is repeated, and so are those that share a group
+    starts = np.array([n for _, n, _ in forms])
+    flags, first = np.repeat([w >= 2 for _, _, w in forms], starts), np.cumsum(starts) - starts
+    flags[first[form[place]] + offset[place]] = True
+    return np.split(flags, first[1:])
 
 
 def ranges(flags: np.ndarray) -> list[dict]:
@@ -187,8 +189,8 @@ def flagged(pieces: DataFrame) -> DataFrame:
 
 
 def removed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """row, cuts: per document the byte ranges that repeated windows cover. docs: row, text; read twice, so `row` must
-    come out the same each time, as over a scan or a written table."""
+    """row, cuts: per document the byte ranges that repeated windows cover. docs: row, text; read twice, so it must be a
+    written table."""
     scratch = Scratch(spark, "repeats")
     every = scratch.keep(located(docs), "segments")
     shared = every.groupBy("seed").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("seed")
@@ -217,7 +219,8 @@ def removed(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The contract's columns."""
-    docs = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    # written once, so that every reading has the same rows
+    docs = Scratch(spark, "texts").keep(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
     whole = docs.join(removed(spark, docs.select("row", "text")), "row", "left")
 
     def rows(batches):
@@ -234,4 +237,5 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 kept.update(data[at:])
                 yield doc, len(data), gone, spans_, kept.hexdigest()
 
-    return map_rows(whole.select("doc_id", "text", "cuts"), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", rows)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_rows(whole.select("doc_id", "text", "cuts"), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", rows)

@@ -64,14 +64,19 @@ def test_repeats(spark, docs, none):
     assert repeats.deduplicated(spark, none).count() == 0
 
 
-def test_merged_transform_orders_all_suffixes():
-    texts = [b"banana", b"ananas", b"bananas", b"nab"]
+def test_merged_transform_groups_shared_prefixes():
+    """At every depth: exactly the suffixes that share their first symbols with another, in order, one group a prefix."""
+    texts = [b"banana", b"ananas", b"bananas", b"nab", b"banana"]
     made = [repeats.bwt_of(texts[:2]), repeats.bwt_of(texts[2:])]
-    place, group = repeats.merged_groups([m[0] for m in made], 4, 50)
+    for part, (_, ts, os) in zip((texts[:2], texts[2:]), made, strict=True):
+        assert [part[t][o:] for t, o in zip(ts, os, strict=True)] == sorted(t[i:] for t in part for i in range(len(t) + 1))
     at = [(t, o) for part, (_, ts, os) in zip((0, 2), made, strict=True) for t, o in zip((ts + part).tolist(), os.tolist(), strict=True)]
-    suffixes = [texts[t][o:] for t, o in (at[p] for p in place.tolist())]
-    assert suffixes == sorted(suffixes)
-    assert len(set(group.tolist())) == len(group)
+    for depth in range(1, 8):
+        place, group = repeats.merged_groups([m[0] for m in made], depth)
+        starts = [texts[t][o : o + depth] for t, o in (at[p] for p in place.tolist())]
+        seen = Counter(t[i : i + depth] for t in texts for i in range(len(t) - depth + 1))
+        assert starts == sorted(starts) and Counter(starts) == {k: n for k, n in seen.items() if n > 1}
+        assert len(set(zip(starts, group.tolist(), strict=True))) == len(set(starts)) == len(set(group.tolist()))
 
 
 def test_near(spark, docs, none):
