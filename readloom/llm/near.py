@@ -215,8 +215,9 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
 
 
 def differences(pairs: DataFrame, pool: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """p, c, n, d, h: for pairs p, c, each shingle h that only one of both sets has; n is the size of c, d how many h.
-    Pairs at more than twice the distance of the threshold have none. With a bitmap, only the h whose flag is set."""
+    """p, c, n, d, e, h: for pairs p, c, shingles h that only one of both sets has; n is the size of c, d how many there
+    are and e how many come out. Pairs at more than twice the distance of the threshold have none. With a bitmap, those
+    whose flag is set; else n // 4 + 1 of them, those that c alone has first, since fewer other sets have them."""
     text = pool.select("c", "text")
     both = pairs.select("p", "c").join(text, "c").join(text.toDF("p", "x"), "p").select("p", "c", "x", "text")
 
@@ -227,18 +228,21 @@ def differences(pairs: DataFrame, pool: DataFrame, wanted: np.ndarray | None = N
                 if p != of:
                     of, x = p, shingle_set(s, WORDS)
                 y = shingle_set(t, WORDS)
-                only = np.setxor1d(x, y, assume_unique=True)
+                own = np.setdiff1d(y, x, assume_unique=True)
+                only = np.concatenate([own, np.setdiff1d(x, y, assume_unique=True)])
                 d = len(only)
                 every = (len(x) + len(y) + d) // 2
                 if d > 2 * (1 - THRESHOLD) * every + 1e-6:
                     continue
-                if wanted is not None:
+                if wanted is None:
+                    only = only[: len(y) // 4 + 1]
+                else:
                     at = only % np.uint64(BITS)
                     only = only[(wanted[at >> np.uint64(3)] >> (np.uint64(7) - at % np.uint64(8)).astype(np.uint8)) & 1 == 1]
                 for h in only.view(np.int64).tolist():
-                    yield p, c, len(y), d, h
+                    yield p, c, len(y), d, len(only), h
 
-    return map_rows(both, "p bigint, c bigint, n bigint, d bigint, h bigint", rows, 20_000)
+    return map_rows(both, "p bigint, c bigint, n bigint, d bigint, e bigint, h bigint", rows, 20_000)
 
 
 def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: DataFrame, roots: DataFrame, pool: DataFrame) -> DataFrame | None:
@@ -247,7 +251,7 @@ def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: Dat
 
     y in a bucket with a pivot p, but not in p's class, can be similar to an x that p took only if 1 - J(p, y) is at
     most twice 1 - THRESHOLD. Of y's differences from p, those that x lacks are differences of x and y, of which there
-    are at most n / 4; so of the n // 4 + 1 that fewest x have, in any fixed order, x has one."""
+    are at most n / 4; so of any n // 4 + 1 x has one, and, of those, one among the first that fewest x have."""
     ends = found.toDF("p", "c").unionByName(found.select(F.col("b").alias("p"), F.col("a").alias("c")))
     least = 2 * THRESHOLD - 1
     apart = []
@@ -267,11 +271,11 @@ def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: Dat
     of_y = of_y.join(common, ["p", "h"])
     one = Window.partitionBy("p", "c")
     of_y = of_y.withColumn("at", F.row_number().over(one.orderBy("m", "h"))).withColumn("had", F.count(F.lit(1)).over(one))
-    of_y = of_y.where(F.col("at") <= F.floor(F.col("n") / 4) + 1 - (F.col("d") - F.col("had")))
+    of_y = of_y.where(F.col("at") <= F.floor(F.col("n") / 4) + 1 - (F.col("e") - F.col("had")))
     pairs = of_y.join(of_x, ["p", "h"]).where(fits(F.col("n"), F.col("xn")) & (F.col("c") != F.col("x")))
     # |x ^ y| = xd + d - 2 * common <= (xn + n) / 9, so x lacks at most half of d - xd + (xn + n) / 9 of y's, and has no fewer than none
     lacks = F.floor((9 * (F.col("d") - F.col("xd")) + F.col("n") + F.col("xn")) / 18)
-    pairs = pairs.where((9 * (F.col("d") - F.col("xd")) <= F.col("n") + F.col("xn")) & (F.col("at") <= lacks + 1 - (F.col("d") - F.col("had"))))
+    pairs = pairs.where((9 * (F.col("d") - F.col("xd")) <= F.col("n") + F.col("xn")) & (F.col("at") <= lacks + 1 - (F.col("e") - F.col("had"))))
     pairs = scratch.keep(pairs.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct(), "bridges")
     return scratch.keep(verified(plausible(pairs, pool), pool), "bridged")
 
