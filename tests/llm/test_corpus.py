@@ -350,3 +350,29 @@ def test_clean_drops_diluted_leaks(spark):
     bench = spark.createDataFrame([(1, item), (2, short)], "item_id bigint, text string")
     for most in (16 << 20, 8):
         assert sorted(r[0] for r in decontaminate.clean(spark, df, bench, most).collect()) == [1, 3]
+
+
+def test_pii_coreference(spark):
+    """One person or number has one surrogate in every form, with or without title; nothing of the old one is left."""
+    said = [
+        "Mr. Smith met Mr Smith and MR. SMITH.", "Mrs. Anna Smith, then Anna Smith, then Mrs. Smith and Smith's dog",
+        "+1 212 555 0199, +1.212.555.0199, +1-212-555-0199", "4111 1111 1111 1111, 4111-1111-1111-1111", "Mr. John Smith and Mr. Peter Smith", "no one here",
+    ]
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.surrogates(spark, df).collect()}
+    family = got[0].split()[1]
+    assert got[0] == f"Mr. {family} met Mr {family} and MR. {family.upper()}."
+    given = got[1].split()[1]
+    assert got[1] == f"Mrs. {given} {family}, then {given} {family}, then Mrs. {family} and {family}'s dog"
+    assert not re.search("smith|anna|john|peter|212|1111", " ".join(got.values()).lower().replace(given.lower(), ""))
+    assert len({re.sub("[^0-9]", "", x) for x in got[2].split(", ")}) == 1 and [re.sub("[0-9]", "", x) for x in got[2].split(", ")] == ["+   ", "+...", "+---"]
+    cards = {re.sub("[^0-9]", "", x) for x in got[3].split(", ")}
+    digits = [int(x) for x in next(iter(cards))][::-1]
+    assert len(cards) == 1 and sum(sum(divmod(d * (1 + i % 2), 10)) for i, d in enumerate(digits)) % 10 == 0
+    first, second = re.match(rf"Mr\. (\S+) {family} and Mr\. (\S+) {family}$", got[4]).groups()
+    assert first != second and got[5] == "no one here"
+    other = {r["doc_id"]: r["text"] for r in pii.replaced(spark, df, "another key").collect()}
+    assert all(other[i] != got[i] for i in range(5)) and other[5] == got[5]
+    many = [(i, f"Mr. {chr(65 + i % 26)}{chr(97 + i // 26)}on Kept") for i in range(300)]
+    out = [r["text"] for r in pii.surrogates(spark, spark.createDataFrame(many, "doc_id bigint, text string")).collect()]
+    assert len(set(out)) == 300
