@@ -189,9 +189,11 @@ def semi_join(spark, sf_dir):
     return fx.table(spark, sf_dir, "customer").join(fx.table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def anti_join(spark, sf_dir):
-    return fx.table(spark, sf_dir, "customer").join(fx.table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent finished order; both sides have rows."""
+    urgent = fx.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    return fx.table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query(fx.with_("line") + """, a AS (SELECT read, count(*) AS q FROM line WHERE library = 'F' AND code = 1 GROUP BY read), b AS (SELECT read, count(*) AS q FROM line WHERE library = 'O' AND code = 1 GROUP BY read)
@@ -343,9 +345,10 @@ def intersect(spark, sf_dir):
     return fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).intersect(fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000")
 def set_except(spark, sf_dir):
-    return fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).exceptAll(fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))).distinct()
+    dear = fx.table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("k"))
+    return fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).exceptAll(dear).distinct()
 
 
 @query(fx.with_("ev") + """, p AS (SELECT kind, pos, (floor(value) + 1) / 1000 AS p FROM ev WHERE value IS NOT NULL), k AS (SELECT *, rank() OVER (PARTITION BY kind ORDER BY p) + count(*) OVER (PARTITION BY kind, p) - 1 AS rk, count(*) OVER (PARTITION BY kind) AS m FROM p)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from readloom.operators import intervals, ranks, windows
 from readloom.operators import profiles, reads
-from readloom.plans import profiles as queries
+from readloom.plans import annotation as queries
+from readloom.sources import annotation
 
 DATA = "/root/testdata/sf0.001"
 
@@ -77,6 +78,20 @@ def test_fisher_and_packing_against_brute_force(spark):
     assert len(rows) == max(sum(s <= t < e for _, s, e in spans) for t in range(70))
 
 
+def test_record_files(spark, tmp_path):
+    """Five-line records from a file of several splits, in order, and alignments whose run lengths have odd operations."""
+    lines = [f"{f}{i}" for i in range(400) for f in annotation.SHAM]
+    (tmp_path / "x.sham").write_text("\n".join(lines) + "\n")
+    numbered = annotation.numbered_lines(spark, str(tmp_path / "x.sham"))
+    assert [r["value"] for r in numbered.orderBy("n").collect()] == lines
+    got = annotation.records(numbered, annotation.SHAM).orderBy("record").collect()
+    assert len(got) == 400 and got[7]["edits"] == "edits7" and got[399]["coords"] == "coords399"
+    df = spark.createDataFrame([("3M1I2D4H1X",), ("",), ("2=1S",)], "c string")
+    assert [r[0] for r in df.select(annotation.expanded(F.col("c"))).collect()] == ["MMMIDDX", "", "S"]
+    both = spark.createDataFrame([("RN A", "GTCA"), ("AC", "A "), ("R", "C")], "p string, q string").select(annotation.compared(F.col("p"), F.col("q")).alias("c"))
+    assert [tuple(r["c"]) for r in both.collect()] == [(1, 0, 0, False), (0, 1, 0, False), (0, 0, 1, False)]
+
+
 def test_shuffles_keep_their_letters(spark):
     got = profiles.shuffled(spark.createDataFrame([("ACGTTTGACA",)], "s string"), "s", 20, 1).collect()
     assert all(sorted(r["shuffled"]) == sorted(r["s"]) for r in got) and len({r["shuffled"] for r in got}) > 15
