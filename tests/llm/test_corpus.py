@@ -376,3 +376,23 @@ def test_pii_coreference(spark):
     many = [(i, f"Mr. {chr(65 + i % 26)}{chr(97 + i // 26)}on Kept") for i in range(300)]
     out = [r["text"] for r in pii.surrogates(spark, spark.createDataFrame(many, "doc_id bigint, text string")).collect()]
     assert len(set(out)) == 300
+
+
+def test_arc_files_of_other_origin():
+    """Version 1 and 2, gzipped, with line-feed heads, other contents, equal records, bad lines and a short end."""
+    import gzip
+    import io
+
+    about = b"1 0 Other\nURL IP-address Archive-date Content-type Archive-length\n"
+    answer, dns = b"HTTP/1.0 200 OK\nServer: x\n\nbody", b"20010203040506\na. IN A 1.2.3.4\n"
+    record = lambda url, kind, content, n=None: f"{url} 1.2.3.4 20010203040506 {kind} {n or len(content)}\n".encode() + content + b"\n"
+    one = record("filedesc://x.arc", "text/plain", about) + record("http://a/b c", "text/html", answer) * 2 + b"no header here\nnor here\n" + record("dns:a.", "text/dns", dns) + record("http://z/", "text/html", answer, 999)
+    got = list(warc.converted(gzip.compress(one), "x.arc"))
+    assert [e is None for _, e in got] == [True, True, False, True, False] and "byte" in got[2][1] and "999" in got[4][1]
+    fields = [f for f, _ in warc.warc_records(io.BytesIO(b"".join(r for r, _ in got if r)))]
+    assert [f["WARC-Type"] for f in fields] == ["response", "response", "resource"] and len({f["WARC-Record-ID"] for f in fields}) == 3
+    assert fields[0]["WARC-Target-URI"] == "http://a/b c" and fields[0]["WARC-Date"] == "2001-02-03T04:05:06Z" and fields[2]["Content-Type"] == "text/dns"
+    assert fields[0]["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(b"body").hexdigest()
+    two = warc.arc_archive(2, [("http://b/", "20020101000000", "text/html", b"HTTP/1.1 404 No\r\n\r\n")])
+    ((r, e),) = warc.converted(two, "y.arc")
+    assert e is None and b"WARC-Type: response" in r and not list(warc.converted(b"", "empty"))
