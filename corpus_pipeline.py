@@ -38,7 +38,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Compression distances and MinHash links are beyond SQL; tests/llm holds run() against brute force.
+#: Compression distances and MinHash links are beyond SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
