@@ -92,6 +92,17 @@ def test_record_files(spark, tmp_path):
     assert [tuple(r["c"]) for r in both.collect()] == [(1, 0, 0, False), (0, 1, 0, False), (0, 0, 1, False)]
 
 
+def test_position_table_has_a_total_order(spark):
+    """A transcript that has the same positions on several sequences: by position in transcript order, then by name."""
+    for strand in "+-":
+        rows = [("CDS", strand, f"c{i}", "t", 5, 8) for i in (7, 2, 9, 0, 4, 1)]
+        df = spark.createDataFrame(rows, "feature string, strand string, chrom string, transcript string, start bigint, end bigint")
+        want = [(p, f"c{i}") for p in ((5, 6, 7) if strand == "+" else (7, 6, 5)) for i in (0, 1, 2, 4, 7, 9)]
+        for parts in (1, 3):
+            got = annotation.position_table(df.repartition(parts, "chrom")).orderBy("rel_start").collect()
+            assert [(r["pos"], r["chrom"]) for r in got] == want and [r["rel_start"] for r in got] == list(range(18)) and [r["rel_stop"] for r in got] == list(range(-17, 1))
+
+
 def test_shuffles_keep_their_letters(spark):
     got = profiles.shuffled(spark.createDataFrame([("ACGTTTGACA",)], "s string"), "s", 20, 1).collect()
     assert all(sorted(r["shuffled"]) == sorted(r["s"]) for r in got) and len({r["shuffled"] for r in got}) > 15
