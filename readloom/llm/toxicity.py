@@ -84,11 +84,12 @@ class Excess:
     """Counts of the documents that hold a byte string, by kind and fold; strings share BUCKETS by their hash. A word
     between the same neighbours as in an earlier document does not count: shared passages tell once."""
 
-    def __init__(self):
-        self.seen = np.zeros(SEEN, bool)
+    def __init__(self, docs: int):
+        """docs: as many texts as can be added, or more."""
+        self.seen = np.zeros(SEEN // 8, np.uint8)  # a bit for each hash
         self.ids: dict[bytes, int] = {}
         self.strings: list[np.ndarray] = []
-        self.held = np.zeros((2, FOLDS, BUCKETS), np.int32)
+        self.held = np.zeros((2, FOLDS, BUCKETS), np.uint16 if docs < 1 << 16 else np.int32)
         self.docs: list[tuple[int, int, np.ndarray]] = []
 
     def fresh(self, words: list[bytes]) -> list[bytes]:
@@ -97,8 +98,9 @@ class Excess:
         starts = np.concatenate([[0], ends[:-1]])
         first, last = np.concatenate([starts[:1], starts[:-1]]), np.concatenate([ends[1:], ends[-1:]])
         h = spans(prefixes(b" ".join(words) + b" "), first, last) % np.uint64(SEEN)
-        new = np.flatnonzero(~self.seen[h])
-        self.seen[h] = True
+        byte, bit = (h >> np.uint64(3)).astype(np.int64), np.uint8(1) << (h & np.uint64(7)).astype(np.uint8)
+        new = np.flatnonzero(self.seen[byte] & bit == 0)
+        np.bitwise_or.at(self.seen, byte, bit)
         return [words[i] for i in new.tolist()]
 
     def known(self, word: bytes) -> int:
@@ -125,8 +127,12 @@ class Excess:
         docs = [(kind, ids) for kind, fold, ids in self.docs if fold != without]
         nt = sum(kind for kind, _ in docs)
         no = len(docs) - nt
-        held = self.held.sum(axis=1) - (0 if without is None else self.held[:, without])
+        held = np.zeros((2, BUCKETS), np.int64)
+        for fold in range(FOLDS):
+            if fold != without:
+                held += self.held[:, fold]
         roots = excess(held[1], held[0], nt, no)
+        del held
         names: dict[bytes, int] = {}
         of = np.full(len(self.strings), -1, np.int64)
         for word, i in self.ids.items():
@@ -241,7 +247,9 @@ def fit(rows: list[tuple[object, str | None, int]]) -> Model:
     if kinds != {0, 1}:
         return Model(b"", b"", constant=0.5 if kinds == {1} else 0.0)
     rows = first_copies(rows)
-    counts, folds = Excess(), [[] for _ in range(FOLDS)]
+    # trained before the counts are there, so that the driver never holds both
+    ordinary = trained([w for _, t, kind in rows if not kind for w in windows(t)], DICTIONARY)
+    counts, folds = Excess(len(rows)), [[] for _ in range(FOLDS)]
     for row in sorted(rows, key=lambda r: r[2]):  # ordinary texts first: what they share with toxic ones is theirs
         fold = zlib.crc32(f"{row[0]}/fold".encode()) % FOLDS
         folds[fold].append(row)
@@ -252,7 +260,6 @@ def fit(rows: list[tuple[object, str | None, int]]) -> Model:
         whole = (w for f, part in enumerate(folds) if f != without for r in part if r[2] for w in windows(r[1]))
         return trained(counts.parts(without) or list(whole), TOXIC_DICTIONARY)
 
-    ordinary = trained([w for _, t, kind in rows if not kind for w in windows(t)], DICTIONARY)
     final = toxic(None)
     saved, y = [], []
     for f, inside in enumerate(folds):

@@ -396,3 +396,38 @@ def test_arc_files_of_other_origin():
     two = warc.arc_archive(2, [("http://b/", "20020101000000", "text/html", b"HTTP/1.1 404 No\r\n\r\n")])
     ((r, e),) = warc.converted(two, "y.arc")
     assert e is None and b"WARC-Type: response" in r and not list(warc.converted(b"", "empty"))
+
+
+def test_pii_plans_stay_small(spark, monkeypatch):
+    """The driver holds plans as trees and as text: no surrogate is worked out beneath a join, and no plan is long."""
+    plans = []
+    keep = pii.Scratch.keep
+
+    def kept(self, df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(self, df, name)
+
+    monkeypatch.setattr(pii.Scratch, "keep", kept)
+    df = spark.createDataFrame([(1, "Mr. John Smith, +1 212 555 0199, 4111 1111 1111 1111, a.b@x.org")], "doc_id bigint, text string")
+    out = pii.surrogates(spark, df)
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert [r["n_entities"] for r in out.collect()] == [4]
+    assert any("sha2" in p for p in plans) and not any("Join" in p and "sha2" in p for p in plans)
+    assert max(map(len, plans)) < 30_000, [len(p) for p in plans]
+
+
+def test_excess_counts_are_small_and_equal_a_plain_count():
+    """Words between the same neighbours count once, and what the counts take does not come on top of themselves."""
+    import tracemalloc
+
+    rows = [("red horrid sea blue lake", 1, 0), ("red horrid sea", 1, 1), ("calm blue lake", 0, 2), ("old horrid sea tide", 1, 3), (None, 0, 0)]
+    counts = toxicity.Excess(len(rows))
+    for r in rows:
+        counts.add(*r)
+    words = [[w.decode() for i in ids for w, at in counts.ids.items() if at == i] for _, _, ids in counts.docs]
+    assert words == [["red", "horrid", "sea", "blue", "lake"], ["sea"], ["calm", "blue"], ["old", "horrid", "sea", "tide"], []]
+    assert counts.held.nbytes + counts.seen.nbytes <= 40 << 20
+    tracemalloc.start()
+    counts.parts(0)
+    assert tracemalloc.get_traced_memory()[1] < 110 << 20
+    tracemalloc.stop()
