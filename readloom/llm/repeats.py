@@ -110,13 +110,35 @@ def bwt_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before[order].astype(np.int16), text[order], offset[order]
 
 
+def symbols_before(symbols: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix the rank of the `size` symbols before it among those that occur more than once, from 1 on, and the
+    place of the suffix that begins with them. 0 is for what no other suffix has, or what is cut by an end."""
+    bits = max(1, int(symbols.max(initial=0)).bit_length())
+    code, at, inside = np.zeros(len(symbols), np.int64), np.arange(len(symbols), dtype=np.int32), np.ones(len(symbols), bool)
+    for i in range(size):
+        now = symbols[at]
+        inside &= now > 0
+        code |= now.astype(np.int64) << (i * bits)
+        at = before[at]
+    code[~inside] = 0
+    order = np.argsort(code)
+    ordered = code[order]
+    edge = np.append(True, ordered[1:] != ordered[:-1]) if len(code) else np.ones(0, bool)
+    several = ~(edge & np.append(edge[1:], True)) & (ordered > 0)
+    rank = np.cumsum(edge & several)
+    keys = np.zeros(len(symbols), np.uint16 if len(rank) and rank[-1] < 1 << 16 else np.int32)  # numpy sorts 16 bits by radix
+    keys[order[several]] = rank[several]
+    return keys, at
+
+
 def merged_groups(bwts: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Merges shards' transforms as far as common prefixes of `depth` symbols are concerned: the places, in the shards laid
     end to end, of the suffixes whose first `depth` symbols another suffix has too, in merged order, and a group number
     that equal ones share. An end equals nothing.
 
-    A step sorts the interleave stably by the symbol before, which orders the suffixes that begin there by one more
-    symbol. A suffix that differs from all others differs after any step too, so only the groups of several go on."""
+    A step sorts the interleave stably by the symbols before, as many as fit a number, which orders the suffixes that
+    begin there by so many more symbols; what is left of `depth` then goes by single ones. A suffix that differs from
+    all others differs after any step too, so only the groups of several go on."""
     symbols = np.concatenate(bwts)
     # where the suffix that begins one symbol earlier is in its own shard's order
     before, at = np.empty(len(symbols), np.int32), 0
@@ -124,11 +146,13 @@ def merged_groups(bwts: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarr
         before[at + np.argsort(b, kind="stable")] = np.arange(at, at + len(b), dtype=np.int32)
         at += len(b)
     place, group = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
-    for _ in range(depth):
-        now = symbols[place]
+    size = min(depth, 63 // max(1, int(symbols.max(initial=0)).bit_length()))
+    steps = [symbols_before(symbols, before, size)] * (depth // size) if depth else []
+    for keys, before_ in [*steps, *[(symbols, before)] * (depth - size * len(steps))]:
+        now = keys[place]
         inside = np.flatnonzero(now)
         order = inside[np.argsort(now[inside], kind="stable")]
-        now, was, place = now[order], group[order], before[place[order]]
+        now, was, place = now[order], group[order], before_[place[order]]
         new = np.ones(len(order), bool)
         new[1:] = (now[1:] != now[:-1]) | (was[1:] != was[:-1])
         several = ~(new & np.append(new[1:], True))

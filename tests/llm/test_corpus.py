@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from readloom.llm import chat, decontaminate, hmm, mixing, near, pii, quality, repeats, toxicity, warc
@@ -79,6 +81,26 @@ def test_merged_transform_groups_shared_prefixes():
         assert len(set(zip(starts, group.tolist(), strict=True))) == len(set(starts)) == len(set(group.tolist()))
 
 
+def test_merge_takes_several_symbols_a_step(monkeypatch):
+    """Few sorts to a depth of 200, and the same groups whatever the symbols' size and what is left of the depth."""
+    r = random.Random(5)
+    for letters in (b"ab", b"ab\xff"):
+        core = bytes(r.choice(letters) for _ in range(300))
+        texts = [core[:250], core[20:], b"a" * 90 + core[40:130], b"", b"a" * 70, core[100:]]
+        made = [repeats.bwt_of(texts[:3]), repeats.bwt_of(texts[3:])]
+        at = [(t + part, o) for part, (_, ts, os) in zip((0, 3), made, strict=True) for t, o in zip(ts.tolist(), os.tolist(), strict=True)]
+        for depth in (9, 20, 25, 61, 200):
+            calls, sort = [], np.argsort
+            monkeypatch.setattr(repeats.np, "argsort", lambda *a, **k: calls.append(1) or sort(*a, **k))  # noqa: B023
+            place, group = repeats.merged_groups([m[0] for m in made], depth)
+            monkeypatch.undo()
+            starts = [texts[t][o : o + depth] for t, o in (at[p] for p in place.tolist())]
+            seen = Counter(t[i : i + depth] for t in texts for i in range(len(t) - depth + 1))
+            assert starts == sorted(starts) and Counter(starts) == {k: n for k, n in seen.items() if n > 1}
+            assert len(set(zip(starts, group.tolist(), strict=True))) == len(set(starts)) == len(set(group.tolist()))
+            assert len(calls) <= 3 + depth // 7 + 9
+
+
 def test_near(spark, docs, none):
     got = {(r["doc_id"], r["class_id"]) for r in near.joined(spark, docs).collect()}
     assert {(1, 1), (2, 1), (3, 1), (8, 8), (4, 4), (5, 5), (6, 6), (None, None)} <= got
