@@ -31,6 +31,8 @@ STATES, PASSES = 8, 4
 #: The sample training starts from, and its passes. All training texts follow.
 SAMPLE_DOCS, SAMPLE_TOKENS, SAMPLE_PASSES = 400, 400_000, 25
 PIECE = 256
+#: Pieces that training holds side by side: a batch of texts has many more, and each token takes two numbers a state.
+ABREAST = 1 << 10
 END = "\n"
 SMOOTH = 0.05
 #: Words that a task counts before it hands them on, and tokens that it scores together.
@@ -177,43 +179,50 @@ class Hmm:
     def counts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, piece starts, moves and emissions (Baum-Welch's E step)."""
         k, n = len(self.start), self.emit.shape[1]
-        start, again, move, emitted = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((n, k))
+        start, again, move, emitted = totals = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((n, k))
         pieces = [(x[at : at + PIECE], at == 0) for x in texts for at in range(0, len(x), PIECE)]
         pieces.sort(key=lambda p: -len(p[0]))
-        if not pieces:
-            return start, again, move, emitted.T
+        for at in range(0, len(pieces), ABREAST):
+            for total, x in zip(totals, self.counts_abreast(pieces[at : at + ABREAST]), strict=True):
+                total += x
+        return start, again, move * self.move, emitted.T
+
+    def counts_abreast(self, pieces: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The counts of pieces that go side by side, the longest first; moves lack their factor, emissions lie by symbol.
+        Two numbers for each token and state are all that is held."""
+        k, n = len(self.start), self.emit.shape[1]
+        move, emitted = np.zeros((k, k)), np.zeros((n, k))
         lens = np.array([len(p) for p, _ in pieces])
         first = np.array([f for _, f in pieces])
         flat = np.concatenate([p for p, _ in pieces]).astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
         active = np.searchsorted(-lens, -np.arange(1, lens[0] + 1), side="right")
+        steps = [slice(end - d, end) for end, d in zip(np.cumsum(active).tolist(), active.tolist(), strict=True)]
         emit, one = np.ascontiguousarray(self.emit.T), np.ones(k)
-        alphas, scaled = [], []  # per step: states given the tokens so far; emissions over the scale
-        for t, d in enumerate(active):
-            b = emit[flat[starts[:d] + t]]
-            alpha = np.where(first[:, None], self.start, self.again) * b if t == 0 else (alphas[-1][:d] @ self.move) * b
+        # by step: symbols; states given the tokens so far, later given all; emissions over the scale
+        symbols, alphas, scaled = np.empty(len(flat), np.int64), np.empty((len(flat), k)), np.empty((len(flat), k))
+        for t, (d, s) in enumerate(zip(active, steps, strict=True)):
+            symbols[s] = flat[starts[:d] + t]
+            b, alpha = scaled[s], alphas[s]
+            b[:] = emit[symbols[s]]
+            alpha[:] = np.where(first[:, None], self.start, self.again) if t == 0 else alphas[steps[t - 1]][:d] @ self.move
+            alpha *= b
             scale = (alpha @ one)[:, None]
-            alphas.append(alpha / scale)
-            scaled.append(b / scale)
+            alpha /= scale
+            b /= scale
         beta = np.ones((0, k))
-        symbols, gammas = [], []
-        for t in range(len(active) - 1, -1, -1):
-            d = active[t]
+        for t in range(len(steps) - 1, -1, -1):
+            d, gamma, back = active[t], alphas[steps[t]], scaled[steps[t]]
             beta = np.concatenate([beta, np.ones((d - len(beta), k))])
-            gamma = alphas[t] * beta
-            symbols.append(flat[starts[:d] + t])
-            gammas.append(gamma)
-            back = scaled[t] * beta
+            gamma *= beta
+            back *= beta
             if t:
-                move += alphas[t - 1][:d].T @ back
+                move += alphas[steps[t - 1]][:d].T @ back
                 beta = back @ self.move.T
-            else:
-                start += gamma[first].sum(0)
-                again += gamma[~first].sum(0)
-        at, weight = np.concatenate(symbols), np.concatenate(gammas)
+        gamma = alphas[steps[0]]
         for i in range(k):
-            emitted[:, i] = np.bincount(at, weight[:, i], n)
-        return start, again, move * self.move, emitted.T
+            emitted[:, i] = np.bincount(symbols, alphas[:, i], n)
+        return gamma[first].sum(0), gamma[~first].sum(0), move, emitted
 
     def improved(self, start: np.ndarray, again: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Hmm:
         """The M step; smoothed, so that nothing is impossible."""

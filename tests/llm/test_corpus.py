@@ -453,3 +453,21 @@ def test_excess_counts_are_small_and_equal_a_plain_count():
     counts.parts(0)
     assert tracemalloc.get_traced_memory()[1] < 110 << 20
     tracemalloc.stop()
+
+
+def test_hmm_training_holds_few_tokens_at_once():
+    """A slice of a million tokens takes two numbers for each state and token of ABREAST pieces, and counts every piece."""
+    import tracemalloc
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    m = hmm.Hmm.random(3073)
+    texts = [r.integers(0, 3073, n).astype(np.int16) for n in [*r.integers(1, 1500, 1000), 300_000]]
+    tracemalloc.start()
+    got = m.counts(texts)
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.stop()
+    alone = [m.counts([x]) for x in texts]
+    assert all(np.allclose(x, sum(parts), rtol=1e-9) for x, parts in zip(got, zip(*alone, strict=True), strict=True))
+    assert math.isclose(got[0].sum(), len(texts)) and math.isclose(got[3].sum(), sum(map(len, texts)))
