@@ -16,7 +16,9 @@ extra columns are ignored, or kept by without_toxic; ids may be of any type."""
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 import zstandard
@@ -39,6 +41,8 @@ LEAST_ROOT, LEAST_LIFT = 5.0, 5.0
 #: Of a word, the strings count whose root reaches this part of the word's largest.
 NEAR = 0.9
 FOLDS, MOST_SAVED, SKETCH = 4, 8, 8
+#: Buckets, and words, that are looked at together.
+SLICE = 1 << 14
 #: A flag for each hash of a word between its neighbours that the sample has shown.
 SEEN = 1 << 25
 #: Share of toxic texts that scores assume; the sample's own share would let through what it makes rare.
@@ -88,7 +92,7 @@ class Excess:
         """docs: as many texts as can be added, or more."""
         self.seen = np.zeros(SEEN // 8, np.uint8)  # a bit for each hash
         self.ids: dict[bytes, int] = {}
-        self.strings: list[np.ndarray] = []
+        self.strings, self.ends = array("i"), array("q")  # the buckets of all words' strings, and where each word's end
         self.held = np.zeros((2, FOLDS, BUCKETS), np.uint16 if docs < 1 << 16 else np.int32)
         self.docs: list[tuple[int, int, np.ndarray]] = []
 
@@ -103,22 +107,35 @@ class Excess:
         np.bitwise_or.at(self.seen, byte, bit)
         return [words[i] for i in new.tolist()]
 
-    def known(self, word: bytes) -> int:
-        """A word's number; the buckets of its strings, by length and then by place, are kept under it."""
-        at = self.ids.setdefault(word, len(self.strings))
-        if at == len(self.strings):
-            data = b" " + word[:WORD_BYTES] + b" "
-            sums, i = prefixes(data), np.arange(len(data))
-            parts = [spans(sums, i[: len(data) - n + 1], i[n - 1 :] + 1) for n in GRAMS if n <= len(data)]
-            self.strings.append((np.concatenate(parts) % np.uint64(BUCKETS)).astype(np.int32) if parts else np.empty(0, np.int32))
-        return at
+    def known(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers; the buckets of their strings, by length and then by place, are kept under them."""
+        new = [w for w in dict.fromkeys(words) if w not in self.ids]
+        if new:
+            datas = [b" " + w[:WORD_BYTES] + b" " for w in new]
+            lens = [len(x) for x in datas]
+            places = [places_of(n) for n in lens]
+            at = np.repeat(np.cumsum([0, *lens[:-1]]), [len(x) for x, _ in places])
+            start, end = (np.concatenate([x[i] for x in places]) + at for i in (0, 1))
+            last = len(self.strings)
+            self.strings.frombytes((spans(prefixes(b"".join(datas)), start, end) % np.uint64(BUCKETS)).astype(np.int32).tobytes())
+            self.ends.extend((last + np.cumsum([len(x) for x, _ in places])).tolist())
+            for w in new:
+                self.ids[w] = len(self.ids)
+        return np.array([self.ids[w] for w in words], np.int32)
+
+    def buckets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of the words' strings, one word's after the other's, and how many each word has."""
+        ends, strings = np.frombuffer(self.ends, np.int64), np.frombuffer(self.strings, np.int32)
+        start = np.where(ids > 0, ends[ids - 1], 0)
+        n = ends[ids] - start
+        return strings[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
     def add(self, text: str | None, kind: int, fold: int) -> None:
         words = lowered(text)
-        ids = np.array([self.known(w) for w in self.fresh(words)] if words else [], np.int32)
+        ids = self.known(self.fresh(words)) if words else np.empty(0, np.int32)
         self.docs.append((kind, fold, ids))
         if len(ids):
-            self.held[kind, fold, np.unique(np.concatenate([self.strings[i] for i in np.unique(ids)]))] += 1
+            self.held[kind, fold, np.unique(self.buckets(np.unique(ids))[0])] += 1
 
     def parts(self, without: int | None) -> list[bytes]:
         """For each toxic document with any, the parts of its fresh words that are in excess, in order; a fold may be left out.
@@ -127,18 +144,21 @@ class Excess:
         docs = [(kind, ids) for kind, fold, ids in self.docs if fold != without]
         nt = sum(kind for kind, _ in docs)
         no = len(docs) - nt
-        held = np.zeros((2, BUCKETS), np.int64)
-        for fold in range(FOLDS):
-            if fold != without:
-                held += self.held[:, fold]
-        roots = excess(held[1], held[0], nt, no)
-        del held
+        inside = [f for f in range(FOLDS) if f != without]
+        roots = np.empty(BUCKETS, np.float32)
+        for at in range(0, BUCKETS, SLICE):
+            held = self.held[:, inside, at : at + SLICE].sum(axis=1, dtype=np.int64)
+            roots[at : at + SLICE] = excess(held[1], held[0], nt, no)
         names: dict[bytes, int] = {}
-        of = np.full(len(self.strings), -1, np.int64)
-        for word, i in self.ids.items():
-            found = roots[self.strings[i]]
-            if len(found) and (most := found.max()) > LEAST_ROOT:
-                of[i] = names.setdefault(under(word, found >= NEAR * most), len(names))
+        words = list(self.ids)
+        of = np.full(len(words), -1, np.int64)
+        for at in range(0, len(words), SLICE):
+            buckets, n = self.buckets(np.arange(at, min(at + SLICE, len(words))))
+            found = roots[buckets]
+            some, ends = np.flatnonzero(n), np.cumsum(n)
+            most = np.maximum.reduceat(found, ends[some] - n[some]) if len(some) else np.empty(0, np.float32)
+            for i, m in zip(some[most > LEAST_ROOT].tolist(), most[most > LEAST_ROOT], strict=True):
+                of[at + i] = names.setdefault(under(words[at + i], found[ends[i] - n[i] : ends[i]] >= NEAR * m), len(names))
         counts = np.zeros((2, len(names)))
         for kind, ids in docs:
             x = np.unique(of[ids])
@@ -149,6 +169,13 @@ class Excess:
         return [b"".join(x) for x in found if x]
 
 
+@cache
+def places_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the strings of n bytes, by length and then by place."""
+    start = [np.arange(n - g + 1) for g in GRAMS if g <= n]
+    return (np.concatenate(start), np.concatenate([x + g for x, g in zip(start, GRAMS, strict=False)])) if start else (np.empty(0, np.int64),) * 2
+
+
 def excess(ct: np.ndarray, co: np.ndarray, nt: int, no: int) -> np.ndarray:
     """The root of the log-likelihood ratio of ct of nt toxic and co of no ordinary documents, 0 where not in excess."""
     out = np.zeros(len(ct), np.float32)
@@ -276,9 +303,10 @@ def fit(rows: list[tuple[object, str | None, int]]) -> Model:
     return Model(ordinary, final, telling.tolist(), weights)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[object, str | None, int]]:
-    """Labelled rows to learn from: of each kind the first by a hash of the id, within the bounds; never held-out ones.
-    A text that no longer fits is passed over; if none of a kind fits, the start of its first one stands for it."""
+def sampled(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """_id, _kind, _text: labelled rows to learn from, of each kind the first by a hash of the id, within the bounds; never
+    held-out ones. A text that no longer fits is passed over; if none of a kind fits, the start of its first one stands
+    for it. The driver sees ids and lengths only."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # ids and lengths alone choose the sample; texts are then picked out by a broadcast of at most 2 * most_docs ids
     sizes = docs.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n"))
@@ -300,12 +328,30 @@ def sample(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, mos
     schema = T.StructType([T.StructField("_id", docs.schema["doc_id"].dataType), T.StructField("_kind", T.IntegerType())])
     ids = labels.sparkSession.createDataFrame([(i, kind) for i, (kind, _) in chosen.items()], schema)
     texts = docs.select(F.col("doc_id").alias("_id"), F.substring("text", 1, most_bytes).alias("_text")).join(F.broadcast(ids), "_id")
-    texts = texts.groupBy("_id", "_kind").agg(F.max("_text").alias("_text"))  # one text of repeated ids
-    return sorted(((r["_id"], r["_text"], r["_kind"]) for r in texts.toLocalIterator()), key=lambda r: (r[2], r[0]))
+    return texts.groupBy("_id", "_kind").agg(F.max("_text").alias("_text"))  # one text of repeated ids
+
+
+def ordered(rows: Iterable[tuple[object, str | None, int]]) -> list[tuple[object, str | None, int]]:
+    return sorted(rows, key=lambda r: (r[2], r[0]))
+
+
+def sample(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> list[tuple[object, str | None, int]]:
+    """The rows of sampled: id, text and kind."""
+    return ordered((r["_id"], r["_text"], r["_kind"]) for r in sampled(docs, labels, most_docs, most_bytes).toLocalIterator())
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(sample(docs, labels))
+    """fit(sample(docs, labels)) in one task: its texts and counts take an executor's memory and none of the driver's."""
+
+    def rows(batches):
+        yield fit(ordered(r for b in batches for r in zip(b["_id"], b["_text"], b["_kind"], strict=True))).state()
+
+    schema = "ordinary binary, toxic binary, telling array<double>, weights array<double>, constant double"
+    found = map_rows(sampled(docs, labels).repartition(1), schema, rows).collect()
+    if not found:  # no task ran
+        return fit([])
+    ordinary, toxic, *rest = found[0]
+    return Model(bytes(ordinary), bytes(toxic), *rest)
 
 
 def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -471,3 +471,41 @@ def test_hmm_training_holds_few_tokens_at_once():
     alone = [m.counts([x]) for x in texts]
     assert all(np.allclose(x, sum(parts), rtol=1e-9) for x, parts in zip(got, zip(*alone, strict=True), strict=True))
     assert math.isclose(got[0].sum(), len(texts)) and math.isclose(got[3].sum(), sum(map(len, texts)))
+
+
+def test_toxicity_is_not_trained_in_the_driver(spark, monkeypatch):
+    """A task trains, with the model that the sample gives; no row to learn from is a model too."""
+    import os
+
+    marks = [(i, prose(40, i) + (" idiotic " + prose(9, 500 + i)) * (i % 2)) for i in range(80)]
+    df = spark.createDataFrame(marks, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d, _ in marks], "doc_id bigint, toxic int")
+    assert toxicity.train(df, labels).state() == toxicity.fit(toxicity.sample(df, labels)).state()
+    for none in (labels.limit(0), labels.where("doc_id < 0")):
+        assert toxicity.train(df, none).state() == toxicity.fit([]).state()
+    monkeypatch.setattr(toxicity, "fit", lambda rows: toxicity.Model(str(os.getpid()).encode(), b"", constant=0.5))
+    assert toxicity.train(df, labels).ordinary not in (b"", str(os.getpid()).encode())
+
+
+def test_excess_holds_strings_once():
+    """The counts take little besides themselves: no array for each word, and no copy of all counts."""
+    import tracemalloc
+
+    import numpy as np
+
+    rows = [(prose(400, i) + f" w{i}xyz{i * i}" * 3, i % 2, i % 4) for i in range(60)]
+    counts = toxicity.Excess(len(rows))
+    for r in rows:
+        counts.add(*r)
+    ids = list(counts.ids.values())
+    assert ids == list(range(len(ids)))
+    for word, i in counts.ids.items():  # as each word alone has them
+        alone = toxicity.Excess(1)
+        alone.known([word])
+        assert counts.buckets(np.array([i]))[0].tolist() == list(alone.strings)
+        if i > 20:
+            break
+    tracemalloc.start()
+    counts.parts(0)
+    assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    tracemalloc.stop()
