@@ -20,6 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
 
 #: Words of the contracts: runs of anything but the ASCII blanks. bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a scratch table that are worth a task and a file of their own, where few are known to come.
+FEW_ROWS = 10_000
 #: Bytes of a batch that become Python objects at a time.
 BATCH_BYTES = 8 << 20
 #: bytes.translate table that lower-cases A-Z and leaves the rest.
@@ -58,7 +60,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+        """most: the rows that can come, where that is known. A few go to few files, whatever the number of shuffle
+        partitions: the driver plans, commits, lists and remembers each, and Hadoop starts a process for each it makes."""
+        if most is not None:
+            df = df.coalesce(max(1, -(-most // FEW_ROWS)))
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

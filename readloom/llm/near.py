@@ -40,6 +40,8 @@ from .shingles import shingle_set
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, ROWS, STEP = 128, 4, 16
 SMALL = 16
+#: Links whose components one task finds; more are connected by stars.
+FEW_LINKS = 50_000
 BITS = 1 << 22
 #: Sets of a class that are compared as one block, and shingles that are compared at a time.
 BLOCK, WIDE = 512, 4096
@@ -288,10 +290,10 @@ def links(scratch: Scratch, reps: DataFrame, texts: DataFrame) -> tuple[DataFram
     pool = scratch.keep(reps.join(cand.select("c").distinct(), "c", "left_semi").join(texts, "c"), "pool")
     found, judged, met = [], None, []
 
-    def judge(pairs: DataFrame, name: str) -> DataFrame:
+    def judge(pairs: DataFrame, name: str, most: int | None) -> DataFrame:
         nonlocal judged
         fresh = pairs.distinct()
-        fresh = scratch.keep(fresh if judged is None else fresh.join(judged, ["a", "b"], "left_anti"), f"pairs{name}")
+        fresh = scratch.keep(fresh if judged is None else fresh.join(judged, ["a", "b"], "left_anti"), f"pairs{name}", most)
         judged = fresh if judged is None else judged.unionByName(fresh)
         found.append(scratch.keep(verified(plausible(fresh, pool), pool), f"links{name}"))
         return reduce(DataFrame.unionByName, found)
@@ -305,32 +307,61 @@ def links(scratch: Scratch, reps: DataFrame, texts: DataFrame) -> tuple[DataFram
 
     pairs = all_pairs(cand.where(F.col("m") <= SMALL))
     large, round_ = scratch.keep(large_members(cand, pool), "large"), 0
+    most = large.count()
     while True:
         # members that no set of their bucket can be similar to are done
-        now = scratch.keep(reachable(large), f"reachable{round_}")
+        now = scratch.keep(reachable(large), f"reachable{round_}", most)
         sizes = now.groupBy("k").agg(F.count(F.lit(1)).alias("left")).where("left > 1")
-        now = scratch.keep(now.join(sizes, "k"), f"now{round_}")
+        now = scratch.keep(now.join(sizes, "k"), f"now{round_}", most)
         pairs = pairs.unionByName(all_pairs(now.where(F.col("left") <= SMALL).select("k", "c", "n")))
         now = now.where(F.col("left") > SMALL).drop("left")
-        of = scratch.keep(pivots(now, round_), f"pivots{round_}")
+        of = scratch.keep(pivots(now, round_), f"pivots{round_}", most)
+        # a member is paired with fewer than SMALL others or with its bucket's pivots; the first pairs are of all buckets
+        proposed = most * max(SMALL, min(8**round_, most)) if round_ else None
         if round_ and of.isEmpty():
-            return connected(judge(pairs, str(round_)))
+            return connected(judge(pairs, str(round_), proposed))
         met.append((now, of))
         able = (F.col("p") != F.col("c")) & (F.col("n") <= F.col("ptop")) & (F.col("pn") <= F.col("top")) & (F.col("own") | F.col("pown"))
         tried = scratch.keep(now.join(of, "k").where(able).select("k", "c", F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")), f"tried{round_}")
-        linked = judge(pairs.unionByName(tried.select("a", "b")), str(round_))
+        linked = judge(pairs.unionByName(tried.select("a", "b")), str(round_), proposed)
         done = tried.join(linked, ["a", "b"], "left_semi").select("k", "c").unionByName(of.select("k", F.col("p").alias("c"))).distinct()
-        large = scratch.keep(now.join(done, ["k", "c"], "left_anti"), f"large{round_ + 1}")
-        if large.isEmpty():
+        large = scratch.keep(now.join(done, ["k", "c"], "left_anti"), f"large{round_ + 1}", most)
+        most = large.count()
+        if not most:
             return connected(linked)
         pairs, round_ = linked.limit(0), round_ + 1
 
 
+def joined_ends(edges: DataFrame) -> DataFrame:
+    """c, root: the smallest node that each other node of the edges u, v is connected to, found in one task."""
+
+    def run(batches):
+        over: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := over.get(x, x)) != x:
+                over[x] = over.get(y, y)
+                x = y
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+                x, y = sorted((root(u), root(v)))
+                if x != y:
+                    over[y] = x
+        found = [(c, root(c)) for c in list(over)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["c", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, "c bigint, root bigint")
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """c, root: the smallest node that each node of the edges a, b is connected to. Large and small stars by turns,
-    until every node hangs on its root."""
+    """c, root: the smallest node that each node of the edges a, b is connected to. FEW_LINKS are joined in one task;
+    more by large and small stars by turns, until every node hangs on its root."""
     scratch = Scratch(scratch.spark, "components")
-    edges = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges0")
+    edges = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v"), "edges0")
+    if edges.count() <= FEW_LINKS:
+        return joined_ends(edges)
     state, step = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

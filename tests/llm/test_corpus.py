@@ -343,6 +343,66 @@ def test_near_counts_all_links(spark, monkeypatch):
     assert {g["doc_id"]: g["n_links"] for g in few} == want
 
 
+def test_components_in_one_task_or_by_stars(spark, monkeypatch):
+    """Links in any order and direction, repeated, in chains, rings and stars, or none at all."""
+    from readloom.llm.common import Scratch
+
+    r = random.Random(4)
+    chain = [(i, i + 1) for i in range(100, 160)]
+    edges = chain + [(y, x) for x, y in chain[::7]] + [(300, i) for i in range(301, 320)] + [(i, 299) for i in range(290, 299)] + [(299, 290), (5, 5), (160, 9), (1 << 40, 300)]
+    edges += [(r.randrange(400, 600), r.randrange(400, 600)) for _ in range(80)]
+    r.shuffle(edges)
+    for some in (edges, []):
+        least = {x: x for e in some for x in e}
+        for _ in least:
+            for x, y in some:
+                least[x] = least[y] = min(least[x], least[y])
+        df = spark.createDataFrame(some, "a bigint, b bigint").repartition(3)
+        for most in (near.FEW_LINKS, 0):
+            monkeypatch.setattr(near, "FEW_LINKS", most)
+            got = near.components(Scratch(spark, "test"), df).collect()
+            assert sorted(map(tuple, got)) == sorted((c, root) for c, root in least.items() if c != root), most
+
+
+def test_near_keeps_few_rows_in_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are: what the rounds over large buckets keep of a small table is a file each,
+    and its components take no steps."""
+    from readloom.llm.common import Scratch
+
+    r, kept, plain = random.Random(9), {}, Scratch.keep
+
+    def keep(self, df, name, *more):
+        out = plain(self, df, name, *more)
+        kept.setdefault(name, len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", keep)
+    monkeypatch.setattr(near, "SMALL", 2)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for _ in range(200):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5])):
+            w[r.randrange(len(w))] = f"v{r.randrange(10**6)}"
+        rows.append(" ".join(w))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = near.without_copies(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sets, least = [set(zip(*(t.split()[i:] for i in range(5)))) for t in rows], list(range(200))  # noqa: B905
+    for _ in range(20):
+        for a, x in enumerate(sets):
+            least[a] = min(least[b] for b, y in enumerate(sets) if 9 * len(x & y) >= 4 * (len(x) + len(y)))
+    assert sorted(g["doc_id"] for g in got) == sorted(set(least)) and 1 < len(set(least)) < 100
+    assert {"now0", "pivots0", "large1", "now1", "pivots1", "pairs1"} <= set(kept) and not any(name.startswith("star") for name in kept)
+    assert [name for name, n in kept.items() if name.startswith(("reachable", "now", "pivots", "large", "pairs")) and name not in ("large", "pairs0") and n > 1] == []
+
+
 def test_clashing_names(spark):
     """Columns named as an operator's own are kept as they are, and string ids too."""
     names = ["q", "p_good", "_key", "_row", "_n", "_sig", "_m_of_pii", "n_mentions_of_pii", "_spans", "_c0", "Text"]
