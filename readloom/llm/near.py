@@ -8,7 +8,8 @@ below the tolerance; the sets of the rest are compared exactly. Verified links m
 A bucket of a band with up to SMALL members proposes all its pairs. A larger one is split by set size (similar sets are
 of similar size), loses the members whose unshared shingles rule out every link, and proposes pairs with its most
 central member; members that it is not linked to stay for the next round, with eight times the pivots, until none is left or
-few enough for all pairs. What that leaves out are links between a set x that a pivot p took and a set y that it did
+few enough for all pairs: no more than SMALL in a bucket, or as many, up to BLOCK, as keep all such pairs together at
+PAIRS a row of the large buckets at most. What that leaves out are links between a set x that a pivot p took and a set y that it did
 not. Such a y is within twice the distance of p, and x and y share a shingle of what each does not share with p
 (otherwise they differ by as much as y and p do, or more); where y is not in p's class anyhow, an index on those
 differences proposes the pairs. So a bucket that holds a third of all rows costs a few pairs a row, no group is ever
@@ -40,6 +41,14 @@ from .shingles import shingle_set
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, ROWS, STEP = 128, 4, 16
 SMALL = 16
+#: Pairs a row of the large buckets that a round may take from all pairs of the smallest of them.
+PAIRS = 2
+#: Bytes of texts and signatures that every executor gets whole, so that pairs meet their sets with no shuffle.
+POOL_BYTES = 24 << 20
+#: Rows of a few numbers that count as one of Scratch.keep's.
+NARROW = 10
+#: Pairs that a task compares, where it has all sets at hand.
+TASK_PAIRS = 2000
 #: Links whose components one task finds; more are connected by stars.
 FEW_LINKS = 50_000
 BITS = 1 << 22
@@ -118,14 +127,26 @@ def fits(x, y):
     return (F.least(x, y) >= THRESHOLD * F.greatest(x, y)) & (x > 0)
 
 
-def all_pairs(members: DataFrame) -> DataFrame:
-    """a, b of buckets that have at most SMALL members."""
+def all_pairs(members: DataFrame, most: int) -> DataFrame:
+    """a, b of buckets that have at most `most` members."""
     cs = F.sort_array("cs")
-    mates = members.groupBy("k").agg(F.collect_list(F.struct("c", "n")).alias("cs")).where((F.size("cs") > 1) & (F.size("cs") <= SMALL)).select(cs.alias("cs"))
-    made = F.flatten(F.transform("cs", lambda x, i: F.transform(F.filter(F.slice(F.col("cs"), i + 2, SMALL), lambda y: fits(x["n"], y["n"])), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b")))))
+    mates = members.groupBy("k").agg(F.collect_list(F.struct("c", "n")).alias("cs")).where((F.size("cs") > 1) & (F.size("cs") <= most)).select(cs.alias("cs"))
+    made = F.flatten(F.transform("cs", lambda x, i: F.transform(F.filter(F.slice(F.col("cs"), i + 2, most), lambda y: fits(x["n"], y["n"])), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b")))))
     return mates.select(F.explode(made).alias("p")).select("p.a", "p.b")
 
 
+def all_paired(members: DataFrame, most: int) -> tuple[int, int]:
+    """Up to how many members a bucket proposes all its pairs, and how many these are: SMALL, and as many more, up to
+    BLOCK, as make at most `most` pairs. members: left, the members of the row's bucket."""
+    few, made, pairs = SMALL, 0, 0
+    sizes = members.where(F.col("left") <= max(SMALL, BLOCK)).groupBy("left").agg(F.count(F.lit(1)).alias("n"))
+    for left, n in sorted(map(tuple, sizes.collect())):
+        made += n * (left - 1) // 2
+        if left <= SMALL or made <= most:
+            few, pairs = max(few, left), made
+    return few, pairs
+
+
 def large_members(cand: DataFrame, pool: DataFrame) -> DataFrame:
     """k, c, n, w, top of buckets over SMALL, split by set size: similar sets are in the same or in neighbouring
     classes. w is in how many large buckets a set is. top is the largest size
@@ -205,6 +226,11 @@ def verified(pairs: DataFrame, pool: DataFrame) -> DataFrame:
     return map_rows(both.select("a", "b", "x", "y"), "a bigint, b bigint", rows)
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """The pairs, TASK_PAIRS to a task, in order, so that those of a pivot follow each other."""
+    return pairs.repartition(max(1, -(-pairs.count() // TASK_PAIRS))).sortWithinPartitions(pairs.columns[0])
+
+
 def bitmap(hashes: DataFrame) -> np.ndarray:
     """BITS flags; that of h modulo BITS is set for every h. At most BITS / 8 bytes come to the driver."""
     at = F.pmod("h", F.lit(BITS)) + 1
@@ -247,9 +273,9 @@ def differences(pairs: DataFrame, pool: DataFrame, wanted: np.ndarray | None = N
     return map_rows(both, "p bigint, c bigint, n bigint, d bigint, e bigint, h bigint", rows, 20_000)
 
 
-def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: DataFrame, roots: DataFrame, pool: DataFrame) -> DataFrame | None:
-    """Verified links between classes that pivots left apart, if any may be. met: each round's members and pivots;
-    found: the links so far, and roots their components.
+def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame, int]], found: DataFrame, roots: DataFrame, pool: DataFrame, at_hand: bool) -> DataFrame | None:
+    """Verified links between classes that pivots left apart, if any may be. met: each round's members, pivots and most pairs;
+found: the links so far, and roots their components; at_hand: the pool is broadcast.
 
     y in a bucket with a pivot p, but not in p's class, can be similar to an x that p took only if 1 - J(p, y) is at
     most twice 1 - THRESHOLD. Of y's differences from p, those that x lacks are differences of x and y, of which there
@@ -257,17 +283,19 @@ def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: Dat
     ends = found.toDF("p", "c").unionByName(found.select(F.col("b").alias("p"), F.col("a").alias("c")))
     least = 2 * THRESHOLD - 1
     apart = []
-    for members, of in met:
+    for members, of, _ in met:
         taking = of.select("k", "p", "pn").join(ends.select("p"), "p", "left_semi").join(roots.toDF("p", "proot"), "p", "left").withColumn("proot", F.coalesce("proot", "p"))
         other = members.select("k", "c", "n").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
         near = F.least("n", "pn") >= least * F.greatest("n", "pn")
         apart.append(other.join(taking, "k").where((F.col("root") != F.col("proot")) & near).select(F.col("p").alias("a"), F.col("c").alias("b")))
-    ys = scratch.keep(plausible(reduce(DataFrame.unionByName, apart).distinct(), pool, least), "apart").toDF("p", "c")
+    ys = scratch.keep(plausible(reduce(DataFrame.unionByName, apart).distinct(), pool, least), "apart", sum(most for _, _, most in met)).toDF("p", "c")
     if ys.isEmpty():
         return None
+    if at_hand:
+        ys = spread(ys)
     of_y = scratch.keep(differences(ys, pool), "differences_y")
     xs = ends.join(ys.select("p").distinct(), "p", "left_semi").distinct()
-    of_x = differences(xs, pool, bitmap(of_y)).select("p", "h", F.col("c").alias("x"), F.col("n").alias("xn"), F.col("d").alias("xd"))
+    of_x = differences(spread(scratch.keep(xs, "ends", 2 * found.count())) if at_hand else xs, pool, bitmap(of_y)).select("p", "h", F.col("c").alias("x"), F.col("n").alias("xn"), F.col("d").alias("xd"))
     of_x = scratch.keep(of_x, "differences_x")
     common = of_x.groupBy("p", "h").agg(F.count(F.lit(1)).alias("m"))
     of_y = of_y.join(common, ["p", "h"])
@@ -279,48 +307,53 @@ def bridges(scratch: Scratch, met: list[tuple[DataFrame, DataFrame]], found: Dat
     lacks = F.floor((9 * (F.col("d") - F.col("xd")) + F.col("n") + F.col("xn")) / 18)
     pairs = pairs.where((9 * (F.col("d") - F.col("xd")) <= F.col("n") + F.col("xn")) & (F.col("at") <= lacks + 1 - (F.col("e") - F.col("had"))))
     pairs = scratch.keep(pairs.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct(), "bridges")
-    return scratch.keep(verified(plausible(pairs, pool), pool), "bridged")
+    return scratch.keep(verified(plausible(spread(pairs) if at_hand else pairs, pool), pool), "bridged")
 
 
 def links(scratch: Scratch, reps: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified pairs a, b of representatives, and c, root: their components. reps: c, n, sig; texts: c, text."""
     every = bands(reps)
     shared = every.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    cand = scratch.keep(every.join(shared, "k"), "candidates")
+    cand = scratch.keep(every.join(shared, "k"), "candidates", -(-reps.count() * (HASHES // ROWS) // NARROW))
+    many = cand.count()
     pool = scratch.keep(reps.join(cand.select("c").distinct(), "c", "left_semi").join(texts, "c"), "pool")
+    size = pool.agg(F.sum(F.length("sig") + F.octet_length("text"))).first()[0] or 0
+    at_hand = size <= POOL_BYTES
+    whole = F.broadcast(pool) if at_hand else pool
     found, judged, met = [], None, []
 
-    def judge(pairs: DataFrame, name: str, most: int | None) -> DataFrame:
+    def judge(pairs: DataFrame, name: str, most: int) -> DataFrame:
         nonlocal judged
         fresh = pairs.distinct()
-        fresh = scratch.keep(fresh if judged is None else fresh.join(judged, ["a", "b"], "left_anti"), f"pairs{name}", most)
+        fresh = scratch.keep(fresh if judged is None else fresh.join(judged, ["a", "b"], "left_anti"), f"pairs{name}", -(-most // NARROW) if name == "0" else most)
         judged = fresh if judged is None else judged.unionByName(fresh)
-        found.append(scratch.keep(verified(plausible(fresh, pool), pool), f"links{name}"))
+        found.append(scratch.keep(verified(plausible(spread(fresh) if at_hand else fresh, whole), whole), f"links{name}"))
         return reduce(DataFrame.unionByName, found)
 
     def connected(linked: DataFrame) -> tuple[DataFrame, DataFrame]:
         roots = scratch.keep(components(scratch, linked), "roots")
-        bridged = bridges(scratch, met, linked, roots, pool)
+        bridged = bridges(scratch, met, linked, roots, whole, at_hand)
         if bridged is None or bridged.isEmpty():
             return linked, roots
         return linked.unionByName(bridged).distinct(), merged(scratch, roots, bridged)
 
-    pairs = all_pairs(cand.where(F.col("m") <= SMALL))
-    large, round_ = scratch.keep(large_members(cand, pool), "large"), 0
-    most = large.count()
+    pairs = all_pairs(cand.where(F.col("m") <= SMALL), SMALL)
+    large, round_ = scratch.keep(large_members(cand, pool), "large", -(-2 * many // NARROW)), 0
+    most = rows = large.count()
     while True:
         # members that no set of their bucket can be similar to are done
         now = scratch.keep(reachable(large), f"reachable{round_}", most)
         sizes = now.groupBy("k").agg(F.count(F.lit(1)).alias("left")).where("left > 1")
         now = scratch.keep(now.join(sizes, "k"), f"now{round_}", most)
-        pairs = pairs.unionByName(all_pairs(now.where(F.col("left") <= SMALL).select("k", "c", "n")))
-        now = now.where(F.col("left") > SMALL).drop("left")
+        few, every_pair = all_paired(now, PAIRS * rows)
+        pairs = pairs.unionByName(all_pairs(now.where(F.col("left") <= few).select("k", "c", "n"), few))
+        now = now.where(F.col("left") > few).drop("left")
         of = scratch.keep(pivots(now, round_), f"pivots{round_}", most)
-        # a member is paired with fewer than SMALL others or with its bucket's pivots; the first pairs are of all buckets
-        proposed = most * max(SMALL, min(8**round_, most)) if round_ else None
+        # a member is in one of all pairs or is paired with its bucket's pivots; the first pairs are of all buckets, and narrow
+        proposed = every_pair + most * min(8**round_, most) if round_ else every_pair + most + many * SMALL
         if round_ and of.isEmpty():
             return connected(judge(pairs, str(round_), proposed))
-        met.append((now, of))
+        met.append((now, of, most * min(8**round_, most)))
         able = (F.col("p") != F.col("c")) & (F.col("n") <= F.col("ptop")) & (F.col("pn") <= F.col("top")) & (F.col("own") | F.col("pown"))
         tried = scratch.keep(now.join(of, "k").where(able).select("k", "c", F.least("p", "c").alias("a"), F.greatest("p", "c").alias("b")), f"tried{round_}")
         linked = judge(pairs.unionByName(tried.select("a", "b")), str(round_), proposed)
@@ -434,16 +467,16 @@ def similar(scratch: Scratch, roots: DataFrame, reps: DataFrame, texts: DataFram
         return pa.table({"c": t["c"], "others": pa.array(others)})
 
     counts = other.groupBy("root", "i", "j").applyInArrow(count, "c bigint, others bigint")
-    return scratch.keep(counts.groupBy("c").agg(F.sum("others").alias("similar")), "similar")
+    return scratch.keep(counts.groupBy("c").agg(F.sum("others").alias("similar")), "similar", wide.count())
 
 
 def grouped(spark: SparkSession, docs: DataFrame, counted: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The sketched documents, and _row, class (the smallest row of the document's class) and n_links of each row; if
+    """The sketched documents, and _row, doc_id, class (the smallest row of the document's class) and n_links of each row; if
     not counted, n_links has only the links that made the classes."""
     scratch = Scratch(spark, "near")
     base = scratch.keep(sketched(docs), "documents")
     sets = base.where(F.col("_key").isNotNull())
-    reps = scratch.keep(sets.groupBy("_key").agg(F.min("_row").alias("c"), F.first("_n").alias("n"), F.first("_sig").alias("sig"), F.count(F.lit(1)).alias("m")), "sets")
+    reps = scratch.keep(sets.groupBy("_key").agg(F.min("_row").alias("c"), F.first("_n").alias("n"), F.first("_sig").alias("sig"), F.count(F.lit(1)).alias("m")), "sets", base.count())
     texts = base.select(F.col("_row").alias("c"), "text")
     found, roots = links(scratch, reps.select("c", "n", "sig"), texts)
     ends = found.select(F.col("a").alias("c"), F.col("b").alias("d")).unionByName(found.select(F.col("b").alias("c"), F.col("a").alias("d")))
@@ -452,14 +485,13 @@ def grouped(spark: SparkSession, docs: DataFrame, counted: bool = True) -> tuple
         degree = degree.join(similar(scratch, roots, reps, texts), "c", "left").select("c", F.coalesce("similar", "others").alias("others"))
     classes = reps.select("_key", "c", "m").join(roots, "c", "left").join(degree, "c", "left")
     classes = classes.select("_key", F.coalesce("root", "c").alias("class"), (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    rows = base.select("_row", "_key").join(classes, "_key", "left")
-    return base, rows.select("_row", F.coalesce("class", "_row").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    rows = base.select("_row", "doc_id", "_key").join(classes, "_key", "left")
+    return base, rows.select("_row", "doc_id", F.coalesce("class", "_row").alias("class"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def joined(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links: a row per document."""
-    base, rows = grouped(spark, docs.select("doc_id", "text"))
-    rows = rows.join(base.select("_row", "doc_id"), "_row")
+    _, rows = grouped(spark, docs.select("doc_id", "text"))
     ids = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return rows.join(ids, "class").select("doc_id", "class_id", "n_links")
 
@@ -468,5 +500,5 @@ def without_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; columns unchanged."""
     plain = masked(docs)
     base, rows = grouped(spark, plain, counted=False)
-    first = rows.join(base.select("_row", F.col("doc_id").alias("_id")), "_row").groupBy("class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("x")).select(F.col("x._row").alias("_row"))
     return base.join(first, "_row", "left_semi").select(*plain.columns).toDF(*docs.columns)

@@ -403,6 +403,35 @@ def test_near_keeps_few_rows_in_few_files(spark, monkeypatch):
     assert [name for name, n in kept.items() if name.startswith(("reachable", "now", "pivots", "large", "pairs")) and name not in ("large", "pairs0") and n > 1] == []
 
 
+def test_near_ends_its_rounds_early(spark, monkeypatch):
+    """Most of a group is linked to its buckets' first pivots. Of the rest, neither alike nor few enough for SMALL, all
+    pairs are fewer than the group's rows, so no further pivots are tried; classes and links equal brute force."""
+    from readloom.llm.common import Scratch
+
+    r, kept, plain = random.Random(4), set(), Scratch.keep
+
+    def keep(self, df, name, *more):
+        kept.add(name)
+        return plain(self, df, name, *more)
+
+    monkeypatch.setattr(Scratch, "keep", keep)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(340):
+        w = list(base)
+        for at in r.sample(range(5, 75, 5), 1) if i < 300 else r.sample(range(75, 145, 5), 3):
+            w[at] = f"v{i}x{at}"
+        rows.append(" ".join(w))
+    sets, least = [set(zip(*(t.split()[i:] for i in range(5)))) for t in rows], list(range(340))  # noqa: B905
+    like = [[b for b, y in enumerate(sets) if 9 * len(x & y) >= 4 * (len(x) + len(y))] for x in sets]
+    for _ in range(10):
+        least = [min(least[b] for b in bs) for bs in like]
+    want = sorted((i, least[i], len(like[i]) - 1) for i in range(340))
+    assert len({x for _, x, _ in want}) > 15
+    got = near.joined(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == want
+    assert "now1" in kept and "now2" not in kept
+
+
 def test_clashing_names(spark):
     """Columns named as an operator's own are kept as they are, and string ids too."""
     names = ["q", "p_good", "_key", "_row", "_n", "_sig", "_m_of_pii", "n_mentions_of_pii", "_spans", "_c0", "Text"]
