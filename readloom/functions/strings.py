@@ -16,7 +16,7 @@ def substituted(seq: Column, old: str, new: str) -> Column:
 
 def bases(text: Column) -> Column:
     """The text's letters A, C, G and T, in upper case."""
-    return F.regexp_replace(F.upper(text), "[^ACGT]", "")
+    return F.regexp_replace(F.upper(text), "[^ACGT]+", "")
 
 
 def hamming(a: Column, b: Column) -> Column:
