@@ -19,6 +19,26 @@ def overlaps(left: DataFrame, right: DataFrame, on: list[str], width: int = 64)
     return both.where((lo < hi) & (F.floor(lo / width) == F.col("bin"))).withColumn("overlap", hi - lo).drop("bin")
 
 
+def holding(points: DataFrame, spans: DataFrame, pos: str, how: str = "inner", width: int = 256) -> DataFrame:
+    """points with each of spans (start, end) that holds their pos; with how="left" those that none holds, too. An
+    equi-join on the point's bin: a span is a row for each bin that it touches, not for each position."""
+    here = points.withColumn("_bin", F.floor(F.col(pos) / width))
+    return here.join(binned(spans, "start", "end", width, "_r_bin"), (F.col("_bin") == F.col("_r_bin")) & (F.col("start") <= F.col(pos)) & (F.col(pos) < F.col("end")), how).drop("_bin", "_r_bin")
+
+
+def once_covered(df: DataFrame, by: list[str], carry: list[str], width: int = 4096) -> DataFrame:
+    """by, start, end, carry: the stretches that exactly one interval covers, with what that interval carries, cut at bins
+    so that a long sequence is many groups. Of intervals that have begun where one is left, it is the one that ends last."""
+    edge = F.col("_bin") * width
+    cut = binned(df, "start", "end", width, "_bin").select(*by, "_bin", *carry, F.greatest("start", edge).alias("start"), F.least("end", edge + width).alias("end"))
+    it = F.struct("end", *carry)
+    steps = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("more"), it.alias("it")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("more"), F.lit(None).cast(cut.select(it).schema[0].dataType).alias("it")))
+    ends = cut.select(*by, "_bin", F.explode(steps).alias("s")).select(*by, "_bin", "s.at", "s.more", "s.it")
+    w = Window.partitionBy(*by, "_bin").orderBy("at")
+    found = ends.select(*by, "at", F.lead("at").over(w).alias("next"), F.sum("more").over(w).alias("n"), F.max("it").over(w).alias("it"))
+    return found.where("n = 1 AND at < next").select(*by, F.col("at").alias("start"), F.col("next").alias("end"), *[F.col(f"it.{c}").alias(c) for c in carry])
+
+
 def best_overlap(left: DataFrame, right: DataFrame, key: str, on: list[str], r_key: str, width: int = 64) -> DataFrame:
     """key, r_key, overlap: the interval with the most overlap; of equal ones the smallest r_key."""
     w = Window.partitionBy(key).orderBy(F.desc("overlap"), r_key)

@@ -62,23 +62,28 @@ TX = "tx AS (SELECT s_suppkey AS gene, unnest(range(s_suppkey * 160, s_suppkey *
 
 def transcripts(spark, sf_dir):
     k = F.col("s_suppkey")
-    s = fx.table(spark, sf_dir, "supplier").select(k.alias("gene"), (k * 160).alias("start"))
-    return s.select("gene", F.explode(F.sequence(F.col("start"), F.col("start") + 199)).alias("pos"), "start")
+    return fx.table(spark, sf_dir, "supplier").select(k.alias("gene"), (k * 160).alias("start"), (k * 160 + 200).alias("end"))
+
+
+def on_transcripts(spark, sf_dir, how="inner"):
+    """doc_id, pos, bit, gene, start, end: a row per site and transcript that has it."""
+    return intervals.holding(a_sites(spark, sf_dir), transcripts(spark, sf_dir), "pos", how)
 
 
 @query(f"WITH {AL}, {TX}" + """, u AS (SELECT pos, min(gene) AS gene, min(start) AS start FROM tx GROUP BY pos HAVING count(*) = 1)
     SELECT doc_id, gene, pos - start AS rel, bit FROM site JOIN u USING (pos)""")
 def unique_sites(spark, sf_dir):
     """Sites at positions that one transcript has alone."""
-    s = reads.uniquely(a_sites(spark, sf_dir), transcripts(spark, sf_dir), ["pos"])
-    return s.select("doc_id", "gene", (F.col("pos") - F.col("start")).alias("rel"), "bit")
+    alone = intervals.once_covered(transcripts(spark, sf_dir).withColumn("first", F.col("start")), [], ["gene", "first"])
+    s = intervals.holding(a_sites(spark, sf_dir), alone, "pos")
+    return s.select("doc_id", "gene", (F.col("pos") - F.col("first")).alias("rel"), "bit")
 
 
 @query(f"WITH {AL}, {TX}" + """, r AS (SELECT gene, CASE WHEN pos - start < 50 THEN 'UTR5' WHEN pos - start < 150 THEN 'CDS' ELSE 'UTR3' END AS region, bit FROM site JOIN tx USING (pos))
     SELECT gene, region, count(*) AS n, sum(bit)::BIGINT AS edits FROM r GROUP BY ALL""")
 def region_tallies(spark, sf_dir):
     """Sites and edits per transcript and region; the first coding base is the 51st."""
-    s = a_sites(spark, sf_dir).join(transcripts(spark, sf_dir), "pos")
+    s = on_transcripts(spark, sf_dir)
     of = reads.region(F.col("pos") - F.col("start") - 50, F.lit(100))
     return s.groupBy("gene", of.alias("region")).agg(F.count(F.lit(1)).alias("n"), F.sum("bit").cast("bigint").alias("edits"))
 
@@ -86,7 +91,7 @@ def region_tallies(spark, sf_dir):
 @query(f"WITH {AL}, {TX}, t AS (SELECT doc_id, gene, min(pos - start) AS lo, max(pos - start) AS hi FROM site JOIN tx USING (pos) GROUP BY ALL) SELECT doc_id, gene FROM t WHERE lo <= 25 AND hi >= 175")
 def spans_whole(spark, sf_dir):
     """Reads that touch both ends of a transcript's coding part."""
-    s = a_sites(spark, sf_dir).join(transcripts(spark, sf_dir), "pos").withColumn("rel", F.col("pos") - F.col("start"))
+    s = on_transcripts(spark, sf_dir).withColumn("rel", F.col("pos") - F.col("start"))
     return s.groupBy("doc_id", "gene").agg(F.bool_or(F.col("rel") <= 25).alias("a"), F.bool_or(F.col("rel") >= 175).alias("b")).where("a AND b").select("doc_id", "gene")
 
 
@@ -102,7 +107,7 @@ def matched_runs(spark, sf_dir):
     SELECT doc_id, gene, n FROM t WHERE edits = 0""")
 def shadowed_region(spark, sf_dir):
     """Reads over a region that show no edit in it."""
-    s = a_sites(spark, sf_dir).join(transcripts(spark, sf_dir), "pos")
+    s = on_transcripts(spark, sf_dir)
     return s.groupBy("doc_id", "gene").agg(F.bool_or(F.col("bit") == 1).alias("edited"), F.count(F.lit(1)).alias("n")).where("NOT edited").select("doc_id", "gene", "n")
 
 
@@ -131,10 +136,10 @@ def inspect_read(spark, sf_dir):
 @query(f"WITH {AL}" + """, anchor AS (SELECT s_suppkey * 160 + 50 AS anchor FROM supplier)
     SELECT anchor, doc_id, pos - anchor AS rel, bit FROM site JOIN anchor ON pos BETWEEN anchor - 15 AND anchor + 15""")
 def anchored_long(spark, sf_dir):
-    """A row per anchor, read and relative position; an equi-join on the anchor's positions, not a range join."""
+    """A row per anchor, read and relative position; an equi-join on bins of positions, not a range join."""
     a = fx.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 160 + 50).alias("anchor"))
-    a = a.select("anchor", F.explode(F.sequence(F.col("anchor") - 15, F.col("anchor") + 15)).alias("pos"))
-    return a_sites(spark, sf_dir).join(a, "pos").select("anchor", "doc_id", (F.col("pos") - F.col("anchor")).alias("rel"), "bit")
+    a = a.select("anchor", (F.col("anchor") - 15).alias("start"), (F.col("anchor") + 16).alias("end"))
+    return intervals.holding(a_sites(spark, sf_dir), a, "pos").select("anchor", "doc_id", (F.col("pos") - F.col("anchor")).alias("rel"), "bit")
 
 
 @query(f"WITH {AL}, anchor AS (SELECT s_suppkey * 160 + 50 AS anchor FROM supplier), l AS (SELECT pos - anchor AS rel, anchor, avg(bit) AS m, count(*) AS n FROM site JOIN anchor ON pos BETWEEN anchor - 15 AND anchor + 15 GROUP BY ALL) SELECT rel, round(avg(m), 6) AS mean, count(*) AS anchors FROM l WHERE n >= 2 GROUP BY rel")
@@ -160,18 +165,17 @@ def gene_read_filter(spark, sf_dir):
 @query(f"WITH {AL}, {TX}, a AS (SELECT doc_id, count(DISTINCT gene) AS genes, string_agg(DISTINCT gene::VARCHAR, ',' ORDER BY gene::VARCHAR) AS names FROM site JOIN tx USING (pos) GROUP BY doc_id) SELECT doc_id, coalesce(genes, 0) AS genes, coalesce(names, 'intergenic') AS names FROM (SELECT DISTINCT doc_id FROM site) LEFT JOIN a USING (doc_id)")
 def all_overlaps(spark, sf_dir):
     """Every transcript of a read, or intergenic."""
-    s = a_sites(spark, sf_dir)
-    a = s.join(transcripts(spark, sf_dir), "pos", "left").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("gene").cast("string"))).alias("g"))
+    a = on_transcripts(spark, sf_dir, "left").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("gene").cast("string"))).alias("g"))
     return a.select("doc_id", F.size("g").cast("bigint").alias("genes"), F.when(F.size("g") > 0, F.array_join("g", ",")).otherwise("intergenic").alias("names"))
 
 
 @query(f"WITH {AL}, {TX}, t AS (SELECT doc_id, pos, gene FROM site JOIN tx USING (pos)), own AS (SELECT doc_id, pos AS p, gene FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC, gene) = 1), e AS (SELECT doc_id, own.gene AS own, min(t.pos) AS first FROM own JOIN t USING (doc_id) WHERE t.gene = own.gene GROUP BY ALL) SELECT doc_id, own, count(DISTINCT gene) AS upstream FROM e JOIN t USING (doc_id) WHERE gene <> own AND pos < first GROUP BY ALL")
 def extended_reads(spark, sf_dir):
     """Reads whose own transcript, that of the 3'-most site, has others strictly upstream."""
-    t = a_sites(spark, sf_dir).join(transcripts(spark, sf_dir), "pos").select("doc_id", "pos", "gene")
-    own = t.groupBy("doc_id").agg(F.min_by("gene", F.struct(-F.col("pos"), "gene")).alias("own"))
-    t = t.join(own, "doc_id").withColumn("first", F.min(F.when(F.col("gene") == F.col("own"), F.col("pos"))).over(Window.partitionBy("doc_id")))
-    return t.where("gene <> own AND pos < first").groupBy("doc_id", "own").agg(F.count_distinct("gene").alias("upstream"))
+    t = on_transcripts(spark, sf_dir).groupBy("doc_id", "gene").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    own = F.min(F.struct(-F.col("hi"), "gene", "lo")).over(Window.partitionBy("doc_id"))
+    t = t.withColumn("own", own).where("gene <> own.gene AND lo < own.lo")
+    return t.groupBy("doc_id", F.col("own.gene").alias("own")).agg(F.count(F.lit(1)).alias("upstream"))
 
 
 @query(f"WITH {AL}" + """, b AS (SELECT doc_id, pos, bit, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) * 4 AS x FROM site),
@@ -200,7 +204,7 @@ def window_absence(spark, sf_dir):
 @query(f"WITH {AL}, {TX}, d AS (SELECT gene, pos - start AS rel, count(*) AS n FROM site JOIN tx USING (pos) GROUP BY ALL), f AS (SELECT rel, n / sum(n) OVER (PARTITION BY gene) AS share FROM d) SELECT rel, round(sum(share), 6) AS total, count(*) AS genes, round(sum(share) / count(*), 6) AS mean FROM f GROUP BY rel")
 def metagene(spark, sf_dir):
     """Shares of each gene's depth by relative position, summed over genes; places without depth do not count."""
-    d = a_sites(spark, sf_dir).join(transcripts(spark, sf_dir), "pos").groupBy("gene", (F.col("pos") - F.col("start")).alias("rel")).agg(F.count(F.lit(1)).alias("n"))
+    d = on_transcripts(spark, sf_dir).groupBy("gene", (F.col("pos") - F.col("start")).alias("rel")).agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("gene"))
     return d.withColumn("share", share).groupBy("rel").agg(F.round(F.sum("share"), 6).alias("total"), F.count(F.lit(1)).alias("genes"), F.round(F.avg("share"), 6).alias("mean"))
 
@@ -208,7 +212,7 @@ def metagene(spark, sf_dir):
 @query(f"WITH {AL}, {TX}, t AS (SELECT gene, pos, bit FROM site JOIN tx USING (pos)), c AS (SELECT s_suppkey AS gene, s_suppkey * 160 + 100 AS centre FROM supplier WHERE s_suppkey % 3 = 0), p AS (SELECT gene, pos - centre AS rel, count(*) AS n FROM t JOIN c USING (gene) GROUP BY ALL) SELECT rel, count(*) AS calls, sum(n)::BIGINT AS depth, round(avg(n), 6) AS per_gene FROM p WHERE abs(rel) <= 50 GROUP BY rel")
 def call_metagene(spark, sf_dir):
     """Depth around calls: summed, and the mean of genes."""
-    t = a_sites(spark, sf_dir).join(transcripts(spark, sf_dir), "pos")
+    t = on_transcripts(spark, sf_dir)
     c = fx.table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("gene"), (F.col("s_suppkey") * 160 + 100).alias("centre"))
     p = t.join(c, "gene").groupBy("gene", (F.col("pos") - F.col("centre")).alias("rel")).agg(F.count(F.lit(1)).alias("n")).where("abs(rel) <= 50")
     return p.groupBy("rel").agg(F.count(F.lit(1)).alias("calls"), F.sum("n").alias("depth"), F.round(F.avg("n"), 6).alias("per_gene"))

@@ -4,7 +4,13 @@ import random
 import time
 from collections import Counter
 
-from readloom.operators import reads
+import pytest
+from pyspark.sql import functions as F
+
+from readloom.operators import intervals, reads
+from readloom.plans import core
+
+from test_reference import DATA
 
 
 def alignment(r, n):
@@ -44,3 +50,36 @@ def test_positions_have_the_characters_of_further_strings(spark):
     row = spark.createDataFrame([("r", True, 20, "CT TATG", "CTGTACG")], "k string, is_reverse boolean, read_start bigint, ref_aligned string, read_aligned string")
     got = sorted(map(tuple, reads.positions(reads.encoded(row), ["k"], base="read_sense").collect()))
     assert got == [("r", o, p, x, c, y) for o, p, x, c, y in [(1, 25, "C", "0", "C"), (2, 24, "A", "1", "G"), (3, 23, "T", "0", "T"), (4, 22, "A", "0", "A"), (6, 21, "A", "0", "A"), (7, 20, "G", "0", "G")]]
+
+
+def spans(r, n, top):
+    return [(i, s, s + r.randrange(1, 30)) for i, s in enumerate(r.randrange(top) for _ in range(n))]
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_points_meet_spans_by_bins(spark, how):
+    r = random.Random(how)
+    rows, points = spans(r, 60, 300), [(i, r.randrange(-5, 400)) for i in range(200)]
+    found = intervals.holding(spark.createDataFrame(points, "id int, pos bigint"), spark.createDataFrame(rows, "k int, start bigint, end bigint"), "pos", how, width=16)
+    want = [(i, k) for i, p in points for k, s, e in rows if s <= p < e]
+    want += [(i, None) for i, p in points if how == "left" and not any(s <= p < e for _, s, e in rows)]
+    assert Counter((g["id"], g["k"]) for g in found.collect()) == Counter(want)
+
+
+def test_stretches_that_one_interval_covers(spark):
+    r = random.Random(1)
+    rows = [(c, f"g{i}", s, e) for c in "xy" for i, s, e in spans(r, 25, 300)] + [("z", "same", 5, 9)] * 2
+    found = intervals.once_covered(spark.createDataFrame(rows, "chrom string, gene string, start bigint, end bigint"), ["chrom"], ["gene"], width=16).collect()
+    on = {}
+    for c, g, s, e in rows:
+        for p in range(s, e):
+            on.setdefault((c, p), []).append(g)
+    assert Counter((f["chrom"], p, f["gene"]) for f in found for p in range(f["start"], f["end"])) == Counter((c, p, g[0]) for (c, p), g in on.items() if len(g) == 1)
+
+
+def test_transcripts_go_out_as_intervals(spark):
+    """What is sent to every task is a row or two a transcript, not one for each of its positions."""
+    n = spark.read.parquet(f"{DATA}/supplier.parquet").count()
+    assert core.transcripts(spark, DATA).count() == n
+    plan = core.on_transcripts(spark, DATA)
+    assert plan.where(F.col("gene").isNotNull()).count() == plan.count() > 0
