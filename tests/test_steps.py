@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.operators import intervals, reads
+from readloom.operators import intervals, reads, sites
 from readloom.plans import core
 
 from test_reference import DATA
@@ -83,3 +83,22 @@ def test_transcripts_go_out_as_intervals(spark):
     assert core.transcripts(spark, DATA).count() == n
     plan = core.on_transcripts(spark, DATA)
     assert plan.where(F.col("gene").isNotNull()).count() == plan.count() > 0
+
+
+@pytest.mark.parametrize("most", [7, 10**6])
+def test_pairs_of_whole_reads_are_not_shuffled(spark, most):
+    """Short and long reads over several blocks, negative positions, bits that are null and positions that come twice."""
+    r = random.Random(most)
+    rows = [(k, r.randrange(-40, 60), r.choice((0, 1, 1, None))) for k in range(6) for _ in range(3 * k)] + [(9, 5, 1), (None, 1, 1), (None, 2, 0), (8, None, 1)]
+    df = spark.createDataFrame(rows, "read int, pos int, bit int")
+    want = {}
+    for k, i, x in rows:
+        for m, j, y in rows:
+            if k is not None and k == m and None not in (i, j) and j > i:
+                n = want.setdefault((i, j), [0] * 4)
+                if None not in (x, y):
+                    n[2 * x + y] += 1
+    out = sites.pair_tally_whole(df, "read", "pos", "bit", block=16, most=most)
+    got = out.collect()
+    assert {(g["i"], g["j"]): list(g[2:]) for g in got} == want and len(got) == len(want) and out.dtypes[0] == ("i", "int")
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString().split("MapInArrow tallies")[0]
