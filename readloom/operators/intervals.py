@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,11 +26,31 @@ def holding(points: DataFrame, spans: DataFrame, pos: str, how: str = "inner", w
     return here.join(binned(spans, "start", "end", width, "_r_bin"), (F.col("_bin") == F.col("_r_bin")) & (F.col("start") <= F.col(pos)) & (F.col(pos) < F.col("end")), how).drop("_bin", "_r_bin")
 
 
+def clipped(df: DataFrame, width: int) -> DataFrame:
+    """The parts of each interval in bins of positions, with _bin; an empty interval has none."""
+    edge = F.col("_bin") * width
+    cut = binned(df.where("start < end"), "start", "end", width, "_bin")
+    return cut.withColumns({"start": F.greatest("start", edge), "end": F.least("end", edge + width)})
+
+
+def depths(df: DataFrame, by: list[str], of: dict[str, Column], width: int = 4096) -> DataFrame:
+    """by, start, end and for each of `of` how many intervals for which it holds cover the stretch, which is cut where any
+    interval begins or ends and at bins. Ends are sorted and summed: no row is made for a position."""
+    cut = clipped(df, width).select(*by, "_bin", "start", "end", *[c.cast("int").alias(f"_n{i}") for i, c in enumerate(of.values())])
+    n = [F.col(f"_n{i}") for i in range(len(of))]
+    step = lambda at, sign: F.struct(F.col(at).alias("at"), *[(c * sign).alias(f"n{i}") for i, c in enumerate(n)])
+    ends = cut.select(*by, "_bin", F.explode(F.array(step("start", 1), step("end", -1))).alias("s")).select(*by, "_bin", "s.*")
+    # one row a place, so that each has its whole change
+    ends = ends.groupBy(*by, "_bin", "at").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(of))])
+    w = Window.partitionBy(*by, "_bin").orderBy("at")
+    out = ends.select(*by, F.col("at").alias("start"), F.lead("at").over(w).alias("end"), *[F.sum(f"n{i}").over(w).alias(name) for i, name in enumerate(of)])
+    return out.where("end IS NOT NULL")
+
+
 def once_covered(df: DataFrame, by: list[str], carry: list[str], width: int = 4096) -> DataFrame:
     """by, start, end, carry: the stretches that exactly one interval covers, with what that interval carries, cut at bins
     so that a long sequence is many groups. Of intervals that have begun where one is left, it is the one that ends last."""
-    edge = F.col("_bin") * width
-    cut = binned(df, "start", "end", width, "_bin").select(*by, "_bin", *carry, F.greatest("start", edge).alias("start"), F.least("end", edge + width).alias("end"))
+    cut = clipped(df, width).select(*by, "_bin", *carry, "start", "end")
     it = F.struct("end", *carry)
     steps = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("more"), it.alias("it")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("more"), F.lit(None).cast(cut.select(it).schema[0].dataType).alias("it")))
     ends = cut.select(*by, "_bin", F.explode(steps).alias("s")).select(*by, "_bin", "s.at", "s.more", "s.it")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import strings
-from ..operators import profiles, ranks
+from ..operators import intervals, profiles, ranks
 from . import fixtures as fx
 from .core import ORACLE_SQL, QUERIES
 from .queries import query, r6
@@ -97,8 +97,8 @@ def calls_by_length(spark, sf_dir):
 @query(fx.with_("genes") + " SELECT pos, count(*) AS depth FROM (SELECT unnest(range(start, \"end\")) AS pos FROM genes) WHERE pos % 10 < 7 GROUP BY pos")
 def run_depth(spark, sf_dir):
     """Depth of runs, clipped to exons (the first seven of ten positions)."""
-    g = fx.genes(spark, sf_dir).where("end > start").select(F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos")).where("pos % 10 < 7")
-    return g.groupBy("pos").agg(count().alias("depth"))
+    d = intervals.depths(fx.genes(spark, sf_dir), [], {"depth": F.lit(True)}).where("depth > 0")
+    return d.select(F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos"), "depth").where("pos % 10 < 7")
 
 
 @query(LIB + ", d AS (SELECT library = 'F' AS shadow, gene, count(*) AS n, sum(bit)::BIGINT AS e FROM lg GROUP BY ALL) SELECT gene, max(n) FILTER (shadow) AS n_shadow, max(e) FILTER (shadow) AS e_shadow, max(n) FILTER (NOT shadow) AS n_back, max(e) FILTER (NOT shadow) AS e_back FROM d GROUP BY gene HAVING min(n) >= 3 AND count(*) = 2")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.operators import intervals, reads, sites
 from readloom.plans import core
+from readloom.sources import annotation
 
 from test_reference import DATA
 
@@ -102,3 +103,34 @@ def test_pairs_of_whole_reads_are_not_shuffled(spark, most):
     got = out.collect()
     assert {(g["i"], g["j"]): list(g[2:]) for g in got} == want and len(got) == len(want) and out.dtypes[0] == ("i", "int")
     assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString().split("MapInArrow tallies")[0]
+
+
+def on(rows):
+    """The names that each position of (group, start, end, name) has."""
+    out = {}
+    for g, s, e, name in rows:
+        for p in range(s, e):
+            out.setdefault((g, p), []).append(name)
+    return out
+
+
+def test_depths_are_summed_ends(spark):
+    r = random.Random(2)
+    rows = [(g, s, e, i % 3 == 0) for g in "xy" for i, s, e in spans(r, 40, 200)] + [("x", 50, 50, True)]
+    df = spark.createDataFrame(rows, "g string, start bigint, end bigint, odd boolean")
+    found = intervals.depths(df, ["g"], {"n": F.lit(True), "odd": F.col("odd")}, width=16).where("n > 0").collect()
+    assert Counter((f["g"], p, f["n"], f["odd"]) for f in found for p in range(f["start"], f["end"])) == Counter((*k, len(v), sum(v)) for k, v in on(rows).items())
+
+
+def test_stretches_of_genes(spark):
+    """Positions of one gene only, whichever of its transcripts, and exons without coding bases, as stretches."""
+    r = random.Random(3)
+    rows = [(c, f"g{i % 4}", ("exon", "CDS", "other")[i % 3], s * 60, e * 60) for c in "xy" for i, s, e in spans(r, 30, 200)] + [("x", "g1", "exon", 7, 7)]
+    df = spark.createDataFrame(rows, "chrom string, gene string, feature string, start bigint, end bigint")
+    alone = {k: v[0] for k, v in on((c, s, e, g) for c, g, _, s, e in rows).items() if len(set(v)) == 1}
+    got = annotation.unambiguous(df).collect()
+    assert Counter((f["chrom"], p, f["gene"]) for f in got for p in range(f["start"], f["end"])) == Counter((*k, v) for k, v in alone.items())
+    assert len(got) < len(alone) / 20
+    bare = [k for k, v in on((g, s, e, f) for _, g, f, s, e in rows).items() if "exon" in v and "CDS" not in v]
+    got = annotation.untranslated(df).collect()
+    assert Counter((f["gene"], p) for f in got for p in range(f["start"], f["end"])) == Counter(bare) and len(got) < len(bare) / 20
