@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spread import spread
+
 
 def markov_window(sites: DataFrame, read: str, pos: str, bit: str, start: float, stay: tuple[float, float], half: int) -> DataFrame:
     """sites with logp: natural log likelihood of the bits of the closed window around each, as a first-order chain.
@@ -24,9 +26,16 @@ def markov_window(sites: DataFrame, read: str, pos: str, bit: str, start: float,
 
 
 def starts_window(sites: DataFrame, read: str, pos: str, logp: Column, width: int, least: int) -> DataFrame:
-    """read, start, n, total: sum of logp over the sites in [start, start + width), for every start with `least` sites."""
-    s = sites.select(read, F.explode(F.sequence(F.col(pos) - (width - 1), F.col(pos))).alias("start"), logp.alias("v"))
-    return s.groupBy(read, "start").agg(F.count("v").alias("n"), F.sum("v").alias("total")).where(F.col("n") >= least)
+    """read, start, n, total: sum of logp over the sites in [start, start + width), for every start with `least` sites,
+    which are one or more."""
+    s = sites.select(read, F.col(pos).alias("p"), logp.alias("v")).where(F.col("p").isNotNull() & F.col("v").isNotNull())
+    w = Window.partitionBy(read).orderBy("p")
+    # the starts whose first site this is lie after the site before; no other row has them
+    near = F.collect_list(F.struct("p", "v")).over(w.rangeBetween(0, width - 1))
+    s = spread(s, read).select(read, "p", near.alias("near"), F.greatest(F.col("p") - (width - 1), F.lag("p").over(w) + 1).alias("first"))
+    s = s.where((F.col("first") <= F.col("p")) & (F.size("near") >= least)).select(read, "near", F.explode(F.sequence("first", "p")).alias("start"))
+    s = s.select(read, "start", F.filter("near", lambda x: x["p"] < F.col("start") + width).alias("in")).where(F.size("in") >= least)
+    return s.select(read, "start", F.size("in").cast("bigint").alias("n"), F.aggregate("in", F.lit(0.0), lambda a, x: a + x["v"]).alias("total"))
 
 
 def poisson_binomial_tail(ps: Column, k: Column) -> Column:

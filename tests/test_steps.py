@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.operators import intervals, reads, sites
+from readloom.operators import chains, intervals, reads, sites
 from readloom.plans import core
 from readloom.sources import annotation
 
@@ -134,3 +134,18 @@ def test_stretches_of_genes(spark):
     bare = [k for k, v in on((g, s, e, f) for _, g, f, s, e in rows).items() if "exon" in v and "CDS" not in v]
     got = annotation.untranslated(df).collect()
     assert Counter((f["gene"], p) for f in got for p in range(f["start"], f["end"])) == Counter(bare) and len(got) < len(bare) / 20
+
+
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_windows_by_their_start(spark, least):
+    """Each start once, with repeated positions, gaps wider than a window and values that are null."""
+    r = random.Random(least)
+    rows = [(k, r.randrange(60) * (5 if k else 1), r.choice((0.5, 1.25, None))) for k in range(3) for _ in range(25)] + [(None, 1, 1.0), (None, 2, 1.0)]
+    df = spark.createDataFrame(rows, "read int, pos bigint, v double")
+    found = chains.starts_window(df, "read", "pos", F.col("v"), 7, least)
+    want = {}
+    for k, p, v in rows:
+        for s in range(p - 6, p + 1) if v is not None else ():
+            want.setdefault((k, s), []).append(v)
+    assert Counter(map(tuple, found.select("read", "start", "n", "total").collect())) == Counter((*k, len(v), sum(v)) for k, v in want.items() if len(v) >= least)
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
