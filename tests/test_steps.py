@@ -3,12 +3,13 @@
 import random
 import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.operators import chains, intervals, reads, sites
-from readloom.plans import core
+from readloom.operators import chains, intervals, reads, sites, spread
+from readloom.plans import core, fixtures
 from readloom.sources import annotation
 
 from test_reference import DATA
@@ -149,3 +150,11 @@ def test_windows_by_their_start(spark, least):
             want.setdefault((k, s), []).append(v)
     assert Counter(map(tuple, found.select("read", "start", "n", "total").collect())) == Counter((*k, len(v), sum(v)) for k, v in want.items() if len(v) >= least)
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_grow_with_the_input(spark, monkeypatch):
+    """A larger table is dealt to more tasks before it is grouped, so that none holds more."""
+    monkeypatch.setattr(spread, "SHARE", 10_000)
+    n = -(-Path(f"{DATA}/lineitem.parquet").stat().st_size // 10_000)
+    plan = fixtures.line(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert n > 8 and any("RepartitionByExpression" in line and line.rstrip().endswith(f", {n}") for line in plan.splitlines())
