@@ -99,8 +99,7 @@ def spans_whole(spark, sf_dir):
     m AS (SELECT doc_id, count(*) OVER (PARTITION BY doc_id, gaps) AS run FROM r WHERE code <> '2')
     SELECT doc_id, count(*) AS columns, max(run) AS longest FROM m WHERE run >= 20 GROUP BY doc_id""")
 def matched_runs(spark, sf_dir):
-    codes = encoded(spark, sf_dir).select("doc_id", F.posexplode(F.split("edit_string", "")).alias("ord", "code"))
-    return reads.matched_columns(codes, "doc_id", 20).groupBy("doc_id").agg(F.count(F.lit(1)).alias("columns"), F.max("run").alias("longest"))
+    return reads.matched_runs(encoded(spark, sf_dir), "doc_id", 20)
 
 
 @query(f"WITH {AL}, {TX}" + """, t AS (SELECT doc_id, gene, sum(bit) AS edits, count(*) AS n FROM site JOIN tx USING (pos) GROUP BY ALL)

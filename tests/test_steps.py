@@ -152,6 +152,12 @@ def test_windows_by_their_start(spark, least):
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_runs_within_edit_strings(spark):
+    rows = [(1, "0120"), (2, "00" * 100_000 + "2" + "1" * 20 + "2" + "0" * 19), (3, "0" * 21), (3, "1" * 30 + "2"), (4, ""), (5, None)]
+    got = reads.matched_runs(spark.createDataFrame(rows, "k int, edit_string string"), "k", 20).collect()
+    assert sorted(map(tuple, got)) == [(2, 200_020, 200_000), (3, 51, 30)]
+
+
 def test_tasks_grow_with_the_input(spark, monkeypatch):
     """A larger table is dealt to more tasks before it is grouped, so that none holds more."""
     monkeypatch.setattr(spread, "SHARE", 10_000)
